@@ -190,3 +190,23 @@ def covered(starts: np.ndarray, n: int, length: int) -> np.ndarray:
     np.add.at(step, starts, 1)
     np.add.at(step, np.minimum(starts + n, length), -1)
     return np.cumsum(step[:-1]) > 0
+
+
+def flat_map_texts(df: DataFrame, keys: list[str], columns: str, fn: Callable[[list[str | None]], tuple[np.ndarray, dict]]) -> DataFrame:
+    """Any number of rows for each row of df(_id, _text, keys...), without a
+    shuffle. fn returns which text each new row comes from, and the columns;
+    the key columns are repeated in front of them."""
+    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), columns])
+    out = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for ids, texts in _pieces(batch):
+                part, at = batch.slice(at, len(ids)), at + len(ids)
+                row, made = fn(texts)
+                take = pa.array(row, pa.int64())
+                arrays = [part.column(k).take(take) for k in keys] + [pa.array(made[f.name], f.type) for f in list(out)[len(keys) :]]
+                yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, out, strict=True)], schema=out)
+
+    return df.mapInArrow(run, schema)
