@@ -45,6 +45,12 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_documents(spark, sf_dir)).drop("detections")
 
 
+def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import shard
+
+    return shard.shard_digest(_documents(spark, sf_dir), shards=24)
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_secret_scan": op3_secret_scan,
     "op5_license_scan": op5_license_scan,
+    "op6_shard": op6_shard,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality_rules": op9_quality_rules,
