@@ -37,7 +37,7 @@ from .shared import written
 
 BANDS, ROWS = 40, 6
 CENTRES = 3
-BLOCK = 4096
+BLOCK = 1024
 #: Estimates this far under the limit are no links: 4.5 standard deviations of
 #: a signature of BANDS * ROWS minima at similarity 0.8.
 MARGIN = 0.12
@@ -106,13 +106,14 @@ def features(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
 
 
 def full_sets(df: DataFrame, id_col: str, text_col: str, size: int, ids: DataFrame) -> DataFrame:
-    """(id, items) for the documents listed in ids(id): sorted 64-bit hashes."""
+    """(id, items) for the documents listed in ids(id): sorted 64-bit hashes.
+    The list grows with the table, so it is never broadcast, at no size."""
 
     def run(texts: list[str | None]) -> dict[str, list]:
         value, first = shingle_sets(texts, size)
         return {"items": [value[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]}
 
-    wanted = T.two_columns(df, id_col, text_col).join(ids.select(F.col("id").alias("_id")), "_id", "left_semi")
+    wanted = T.two_columns(df, id_col, text_col).join(ids.select(F.col("id").alias("_id")).hint("merge"), "_id", "left_semi")
     return T.map_texts(wanted, "_id", "_text", "id", "items binary", run)
 
 
@@ -192,7 +193,7 @@ def links_within(ids: np.ndarray, comps: np.ndarray, items: list[np.ndarray], pe
     return found
 
 
-def _rest(buckets: DataFrame, comp: DataFrame, sets_of, percent: int) -> DataFrame:
+def _rest(buckets: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links across the components that meet in a bucket. buckets: (key, id)."""
     placed = written(buckets.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("key", "n")
@@ -201,7 +202,6 @@ def _rest(buckets: DataFrame, comp: DataFrame, sets_of, percent: int) -> DataFra
     mine = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
     dealt = rows.select("key", "id", "component", mine.alias("mine"), other).select("key", "id", "component", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    sets = sets_of(rows.select("id").distinct())
     out = T.arrow_schema("a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,13 +235,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stars = stars.withColumn("place", F.row_number().over(by_best)).where(f"place <= {CENTRES}").select("a", "b")
     pairs = written(_by_signature(written(stars, "stars"), feature, percent), "pairs")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        return written(full_sets(docs, "_id", "_text", size, ids), "sets")
-
-    in_pairs = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    links = written(_by_sets(pairs, sets_of(in_pairs), percent), "links")
+    sets = written(full_sets(docs, "_id", "_text", size, buckets.select("id").distinct()), "sets")
+    links = written(_by_sets(pairs, sets, percent), "links")
     comp = written(connected_components(links), "components")
-    more = written(_rest(buckets.select("key", "id"), comp, sets_of, percent), "more")
+    more = written(_rest(buckets.select("key", "id"), comp, sets, percent), "more")
     if more.limit(1).count():
         comp = written(connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
 
