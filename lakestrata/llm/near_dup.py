@@ -247,3 +247,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = feature.select("id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of df without those that a lesser id of their group stands for,
+    with all their columns."""
+    gone = near_duplicates(df, id_col, text_col, size, percent).where("not kept").select(F.col(id_col).alias("_id")).distinct()
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"))
+    return rows.join(gone, "_id", "left_anti").select("_row.*")

@@ -146,3 +146,9 @@ def ablations(ledger: DataFrame, policy: Policy = V1) -> DataFrame:
             )
         )
     return masks.agg(F.array(*sums).alias("r")).select(F.inline("r")).withColumn("policy", F.lit(policy.version))
+
+
+def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", policy: Policy = V1) -> DataFrame:
+    """The rows of df that the policy keeps, with all their columns."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_t"))
+    return apply_policy(rule_ledger(rows, "_row", "_t"), policy).where("kept").select("_row.*")
