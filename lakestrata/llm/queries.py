@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _tokenizer(name: str) -> tuple[str, str]:
+def tokenizer(name: str) -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path(name), public_tokenizers.PATTERN
@@ -21,7 +21,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_store
 
-    path = token_store.write_store(_documents(spark, sf_dir), *_tokenizer("byte_bpe_50k.json"), end_id=2)
+    path = token_store.write_store(_documents(spark, sf_dir), *tokenizer("byte_bpe_50k.json"), end_id=2)
     return token_store.read_store(spark, path)
 
 
@@ -36,7 +36,13 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secret_scan
 
-    return secret_scan.scan_secrets(_documents(spark, sf_dir), *_tokenizer("byte_bpe_50k.tiktoken"))
+    return secret_scan.scan_secrets(_documents(spark, sf_dir), *tokenizer("byte_bpe_50k.tiktoken"))
+
+
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_extract
+
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +60,7 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
-    return bpe.digests(_documents(spark, sf_dir), *_tokenizer("byte_bpe_50k.json"))
+    return bpe.digests(_documents(spark, sf_dir), *tokenizer("byte_bpe_50k.json"))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_decontaminate": op2_decontaminate,
     "op3_secret_scan": op3_secret_scan,
+    "op4_html_extract": op4_html_extract,
     "op5_license_scan": op5_license_scan,
     "op6_shard": op6_shard,
     "op7_bpe_codec": op7_bpe_codec,

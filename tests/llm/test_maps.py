@@ -1,0 +1,171 @@
+"""Operators that map row by row: quality, licenses, secrets, BPE, HTML."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from lakestrata.llm import bpe, html_extract, license_scan, quality, secret_scan
+from lakestrata.llm.queries import tokenizer
+
+from . import cases
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer("byte_bpe_50k.json")[0])
+
+
+def test_quality_against_brute_force(spark):
+    got = sorted(map(tuple, quality.rule_ledger(cases.documents(spark)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect()))
+    want = []
+    for doc_id, text, *_ in cases.rows():
+        w = cases.plain(text)
+        windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        twice = {x for x in windows if windows.count(x) > 1} if len(windows) < 3000 else {x for x, n in __import__("collections").Counter(windows).items() if n > 1}
+        hit = {j for i, x in enumerate(windows) if x in twice for j in range(i, i + 5)}
+        lines = [x for x in (text or "").split("\n") if cases.plain(x)]
+        want.append((doc_id, len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(hit)))
+    assert got == sorted(want)
+
+
+def test_quality_policy_and_ablation(spark):
+    ledger = quality.rule_ledger(cases.documents(spark)).cache()
+    kept = quality.apply_policy(ledger, quality.V1)
+    assert kept.where("kept and (n_words < 10 or 100 * n_repeat_words > 20 * n_words)").count() == 0
+    table = {r.rule: r for r in quality.ablations(ledger, quality.V1).collect()}
+    assert set(table) == set(quality.V1.rule_names)
+    for rule, r in table.items():
+        without = quality.Policy("w", tuple(n for n in quality.V1.rule_names if n != rule))
+        assert quality.apply_policy(ledger, without).where("kept").count() == r.n_kept + r.n_only
+    assert quality.ablations(ledger.limit(0)).count() == len(quality.V1.rule_names)
+    good = quality.keep_good(cases.documents(spark))
+    assert good.columns == cases.documents(spark).columns and good.count() == kept.where("kept").count()
+    assert quality.rule_ledger(cases.documents(spark, [])).count() == 0
+
+
+def test_licenses(spark):
+    got = {r.doc_id: r for r in license_scan.scan_licenses(cases.documents(spark)).collect()}
+    phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    for doc_id, text, *_ in cases.rows():
+        w, places, labels = cases.letters(text), [], set()
+        for phrase, label in phrases.items():
+            p = phrase.split()
+            at = [i for i in range(len(w)) if w[i : i + len(p)] == p]
+            places += at
+            labels |= {label} if at else set()
+        r = got[doc_id]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
+        assert labels <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    assert license_scan.scan_licenses(cases.documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("SPDX-License-Identifier: BSD-3-Clause", {"bsd-3-clause"}),
+        ("Licensed under CC BY-NC 4.0.", {"cc-by-nc"}),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", {"lgpl"}),
+        ("Mozilla Public License 2.0, see https://www.mozilla.org/MPL/", {"mpl"}),
+        ("accept the terms", set()),
+    ],
+)
+def test_license_rules(text, labels):
+    assert {d.signature.label for d in license_scan.detect(license_scan.normalise(text)[0])} == labels
+
+
+def test_license_keywords_are_necessary():
+    rules = license_scan.signatures()
+    assert len(rules) > 200 and all(s.keyword for s in rules)
+    for family, names in license_scan.FAMILIES.items():
+        for name in names:
+            sample = re.sub(r"\(\?:([^()|]*)[^()]*\)\??", r"\1", name).replace("[cs]", "c").replace(" ?", " ")
+            assert license_scan.detect(f" {sample} "), (family, sample)
+
+
+def test_base_secrets_against_plain_patterns(spark):
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(cases.documents(spark), *tokenizer("byte_bpe_50k.tiktoken")).collect()}
+    kinds = [
+        ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, lambda m: len(m[2]) >= 6),
+        ("access", "AKIA[A-Z0-9]+", 0, lambda m: len(m[0]) >= 20),
+        ("hex", "[0-9a-f]+", 0, lambda m: len(m[0]) >= 24),
+    ]
+    for doc_id, text, *_ in cases.rows():
+        spans = [(m.start(), k, name, m.end()) for k, (name, p, flags, ok) in enumerate(kinds) for m in re.finditer(p, text or "", flags) if ok(m)]
+        said = ",".join(f"{name}:{a}:{b}" for a, _, name, b in sorted(spans))
+        r = got[doc_id]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[2] == k[0] for s in spans) for k in kinds)
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert set(filter(None, said.split(","))) <= set(r.spans.split(","))
+
+
+def test_random_strings_and_exceptions():
+    enc = secret_scan.encoding(*tokenizer("byte_bpe_50k.tiktoken"))
+    found = lambda t: [k for _, k, _ in secret_scan.find(t, enc)[1]]
+    assert found("key x9Kq2LmZ8vTr4WpB7nYc3Hd6Fj1 end") == ["random"]
+    for clean in ("550e8400-e29b-41d4-a716-446655440000", "D41D8CD98F00B204E9800998ECF8427E", "an_ordinary_function_name_2024", "12345678901234567890123", "thonestitioneringedhehahe"):
+        assert found(clean) == [], clean
+    text = 'a token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" b'
+    assert secret_scan.mask(text, secret_scan.find(text, enc)[1]) == 'a [SECRET]" b'
+
+
+def test_redact_keeps_rows_and_columns(spark):
+    docs = cases.documents(spark)
+    out = secret_scan.redact(docs, *tokenizer("byte_bpe_50k.tiktoken"))
+    assert out.dtypes == docs.dtypes and out.count() == docs.count()
+    assert out.where("text like '%04dbebab%'").count() == 0
+    assert out.where("text is null").count() == docs.where("text is null").count()
+    assert out.where("text is not null and n_chars <> length(text)").count() == 0
+
+
+def test_bpe_against_the_library(spark, library):
+    got = {r.doc_id: r for r in bpe.digests(cases.documents(spark), *tokenizer("byte_bpe_50k.json")).collect()}
+    for doc_id, text, *_ in cases.rows():
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        r = got[doc_id]
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert bpe.digests(cases.documents(spark, []), *tokenizer("byte_bpe_50k.json")).count() == 0
+
+
+def test_bpe_on_odd_strings(library):
+    codec = bpe.codec(*tokenizer("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    signs = ["a", "e", "the", " ", " ", "\n", "\t", "\x1c", "　", "\xa0", "é", "日", "1", "½", "_", "'s", "'", "!", "<|endoftext|>", "😀", "Ġ", "\r\n", "​"]
+    for _ in range(3000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(25)))
+        ids = codec.encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+        assert codec.decode(ids) == text
+
+
+def test_bpe_encode_then_decode(spark):
+    ids = bpe.encode(cases.documents(spark), *tokenizer("byte_bpe_50k.json"))
+    back = bpe.decode(ids, *tokenizer("byte_bpe_50k.json"))
+    want = sorted((r[0], r[1] or "") for r in cases.rows())
+    assert sorted((r.doc_id, r.text) for r in back.collect()) == want
+
+
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><div class="cookie-notice">We use cookies</div>
+<nav><ul><li><a href=1>A</a><li><a href=2>B</a></ul></nav><article><h1>Great &amp; title</h1><p><b>First paragraph is long,<br> with many words&nbsp;in it.<p>Short.</p>
+<div class="ad">Buy now</div><p>Another one with a <a href=x>link</a> inside.</p></article><aside>Side</aside><form>Mail</form>
+<section id="comments"><p>A reader comment that is as long as a paragraph of the article.</p></section><footer>(c)</footer></body></html>"""
+
+
+def test_html(spark):
+    want = "Great & title\nFirst paragraph is long, with many words in it.\nShort.\nAnother one with a link inside."
+    assert html_extract.main_text(PAGE) == want
+    bare = PAGE.replace("<article>", "<div>").replace("</article>", "</div>")
+    assert html_extract.main_text(bare) == want
+    rows = [(1, "u", PAGE, "x"), (2, None, None, "x"), (3, "u", "", "x"), (3, "u", "", "x"), (None, "u", "<p>a<p>b &lt;c&gt; <di", "x")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, "u", want, len(want)), (2, None, "", 0), (3, "u", "", 0), (3, "u", "", 0), (None, "u", "a\nb <c>", 7)], key=str)
+
+
+def test_html_deep_nesting():
+    assert html_extract.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
