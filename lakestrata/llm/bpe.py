@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -164,20 +165,14 @@ class Codec:
             self.emit[i] = token.encode()
         self.specials = specials
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
-        self._pieces = regex.compile(pattern).findall
-        self._memo = Memo(self._encode_chunk)
-        self._words = Memo(lambda w: np.array(self.automaton.walk(w.encode("utf-8", "surrogatepass")), dtype="<u4").tobytes())
-
-    def _encode_chunk(self, chunk: str) -> bytes:
-        words = self._words
-        return b"".join([words[w] for w in self._pieces(chunk)])
+        self._chunks = Chunks(regex.compile(pattern).findall, lambda w: array("I", self.automaton.walk(w.encode("utf-8", "surrogatepass"))).tobytes())
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if self._special is None or not any(s in text for s in self.specials):
-            return encode_chunks(text, self._memo)
+            return encode_chunks(text, self._chunks)
         parts = self._special.split(text)
-        return b"".join(np.array([self.specials[p]], "<u4").tobytes() if p in self.specials else encode_chunks(p, self._memo) for p in parts if p)
+        return b"".join(np.array([self.specials[p]], "<u4").tobytes() if p in self.specials else encode_chunks(p, self._chunks) for p in parts if p)
 
     def decode(self, ids: bytes) -> str:
         """The labels of the arcs, bytes that are no UTF-8 replaced."""
@@ -185,38 +180,69 @@ class Codec:
 
 
 class Memo(dict):
-    """Results of a function by argument, emptied when it has grown to a limit."""
+    """Results by key in two generations: when the young one is full it becomes
+    the old one, and what is asked for again moves back. So the frequent
+    entries stay and memory has a bound."""
 
-    def __init__(self, fn, limit: int = MEMO_LIMIT):
+    def __init__(self, make, limit: int = MEMO_LIMIT):
         super().__init__()
-        self.fn, self.limit = fn, limit
+        self.make, self.limit, self.old = make, limit, {}
 
-    def __missing__(self, key):
-        made = self.fn(key)
-        if len(self) >= self.limit:
-            self.clear()
+    def __missing__(self, key: str) -> bytes:
+        made = self.old.get(key)
+        if made is None:
+            made = self.make(key)
         if len(key) <= 64:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
             self[key] = made
         return made
 
 
-#: A space before white space or the end does not start a new piece.
-_INNER = re.compile(r" (?:\s|\Z)")
-_BOUNDARY = re.compile(r" (?!\s|\Z)")
+class Chunks:
+    """Encodings of chunks, `bare` or with the `spaced` that stands before them."""
+
+    def __init__(self, pieces, word):
+        self.pieces, self.word = pieces, word
+        self.piece = Memo(word, MEMO_LIMIT // 4)
+        self.bare = Memo(lambda chunk: self._make("", chunk), MEMO_LIMIT // 4)
+        self.spaced = Memo(lambda chunk: self._make(" ", chunk))
 
+    def _make(self, lead: str, chunk: str) -> bytes:
+        if chunk.isalpha() and max(chunk) < "\u0250":  # Latin letters are one piece
+            return self.word(lead + chunk)
+        body = chunk[:-1]
+        if chunk[-1:] in _MARKS and body.isalpha() and max(body) < "\u0250":
+            return (self.spaced if lead else self.bare)[body] + self.piece[chunk[-1]]
+        return b"".join([self.piece[p] for p in self.pieces(lead + chunk)])
 
-def chunks(text: str) -> list[str]:
-    """Cuts a text before every single space that a visible character follows.
-    The splitting pattern always has a boundary there, so pieces of a chunk are
-    pieces of the text. All chunks but the first have lost their leading space."""
-    return _BOUNDARY.split(text) if _INNER.search(text) else text.split(" ")
+
+_MARKS = (".", ",", ";", ":", "!", "?")
+
+#: White space after a space or a line feed: there the pattern looks further.
+_LOOSE_SPACE, _LOOSE_FEED = re.compile(r" \s"), re.compile(r"\n\s")
+_BOUNDARY = re.compile(r" (?!\s|\Z)")
 
 
-def encode_chunks(text: str, memo) -> bytes:
+def encode_chunks(text: str, chunks: Chunks) -> bytes:
+    """Encodes a text chunk by chunk. The splitting pattern has a boundary
+    before every space that a visible character follows, and on both sides of a
+    line feed that one follows; so pieces of a chunk are pieces of the text."""
     if not text:
         return b""
-    first, *rest = chunks(text)
-    return memo[first] + b"".join([memo[c] for c in map(" ".__add__, rest)])
+    bare, spaced = chunks.bare, chunks.spaced
+    if _LOOSE_SPACE.search(text) or _LOOSE_FEED.search(text):
+        first, *rest = _BOUNDARY.split(text)
+        return bare[first] + b"".join([spaced[c] for c in rest])
+    feed, out = bare["\n"], []
+    for line in text.split("\n"):
+        first, *rest = line.split(" ")
+        out.append(bare[first])
+        out += [spaced[c] for c in rest]
+        out.append(feed)
+    out.pop()
+    return b"".join(out)
 
 
 @lru_cache(maxsize=2)
@@ -256,18 +282,19 @@ def decode(df: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id",
     return df.select(F.col(id_col).alias("_id"), F.col(ids_col).alias("_ids")).mapInArrow(run, ddl)
 
 
-def digests(df: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """n_tokens and SHA-256 of the ids and of the text decoded from them. Both
-    directions run in one pass over the batch, so no ids cross to the JVM."""
+def digests(df: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """n_tokens and SHA-256 of the ids and of the text decoded from them, and
+    the ids if asked for. Both directions run in one pass over the batch."""
 
     def run(texts: list[str | None]) -> dict[str, list]:
         c = codec(tokenizer, pattern)
-        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
         for t in texts:
             ids = c.encode(t or "")
             out["n_tokens"].append(len(ids) // 4)
+            out["ids"].append(ids if with_ids else None)
             out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(c.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
         return out
 
-    return T.map_texts(df, id_col, text_col, id_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", run)
+    return T.map_texts(df, id_col, text_col, id_col, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else ""), run)

@@ -26,6 +26,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .bpe import Memo, encode_chunks
+from .bpe import Chunks, byte_letters, encode_chunks
 from .shared import new_dir, partitions_for
 
 MAGIC = b"DACTOK01"
@@ -50,17 +51,18 @@ _HEAD = struct.Struct("<8sQQQ")
 
 def build(ids: np.ndarray) -> list[tuple[bytes, bytes, bytes]]:
     """Chunks, bitmap and rank directory of every level."""
-    levels, rest = [], ids.astype(np.uint64)
+    levels, rest = [], np.ascontiguousarray(ids, dtype="<u4")
     while True:
         more = rest > 0xFF
         bits = np.packbits(more, bitorder="little")
-        padded = np.zeros(-(-max(len(more), 1) // GROUP) * GROUP, dtype=np.uint64)
-        padded[: len(more)] = more
-        ranks = np.concatenate(([0], np.cumsum(padded.reshape(-1, GROUP).sum(axis=1))[:-1])).astype("<u8")
-        levels.append(((rest & np.uint64(0xFF)).astype(np.uint8).tobytes(), bits.tobytes(), ranks.tobytes()))
+        words = np.zeros(-(-max(len(bits), 1) // (GROUP // 8)) * (GROUP // 8), dtype=np.uint8)
+        words[: len(bits)] = bits
+        ones = np.bitwise_count(words.view("<u8")).reshape(-1, GROUP // 64).sum(axis=1, dtype=np.uint64)
+        ranks = np.concatenate((np.zeros(1, np.uint64), np.cumsum(ones)[:-1])).astype("<u8")
+        levels.append((rest.view(np.uint8)[::4].tobytes(), bits.tobytes(), ranks.tobytes()))
         if not more.any():
             return levels
-        rest = rest[more] >> np.uint64(8)
+        rest = rest[more] >> np.uint32(8)
 
 
 def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -125,12 +127,13 @@ class Reader:
 
     def tokens(self) -> np.ndarray:
         """All tokens of the file."""
-        out = np.zeros(self.n_tokens, dtype="<u4")
-        at = np.arange(self.n_tokens)
-        for k in range(self.n_levels):
-            chunks, bitmap = self._section(2 + 3 * k), self._section(3 + 3 * k)
-            out[at] |= np.frombuffer(chunks, np.uint8).astype(np.uint32) << np.uint32(8 * k)
-            at = at[np.unpackbits(np.frombuffer(bitmap, np.uint8), count=len(at), bitorder="little").astype(bool)]
+        out = np.frombuffer(self._section(2), np.uint8).astype("<u4")
+        at = None
+        for k in range(1, self.n_levels):
+            bits = np.frombuffer(self._section(3 * k), np.uint8)
+            on = np.flatnonzero(np.unpackbits(bits, count=self.n_tokens if at is None else len(at), bitorder="little"))
+            at = on if at is None else at[on]
+            out[at] |= np.frombuffer(self._section(2 + 3 * k), np.uint8).astype("<u4") << np.uint32(8 * k)
         return out
 
 
@@ -139,7 +142,9 @@ class Reader:
 
 class LibraryEncoder:
     """The tokenizers library behind a memo: a text falls into pieces that the
-    library encodes independently, and a piece seen before is not encoded again."""
+    library encodes independently, its model encodes each piece, and a piece
+    seen before is not encoded again. Texts that hold special tokens go to the
+    library as they are."""
 
     def __init__(self, path: str, pattern: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -149,22 +154,24 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._pieces = regex.compile(pattern).findall
-        self._words = Memo(self._library)
-        self._memo = Memo(self._chunk)
+        self._letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
+        self._space = self._letters[0x20]
+        self._chunks = Chunks(regex.compile(pattern).findall, self._word)
 
-    def _library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        words = self._words
-        return b"".join([words[w] for w in self._pieces(chunk)])
+    def _word(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            spelled = piece.replace(" ", self._space)
+        else:
+            spelled = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._letters)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         if any(s in text for s in self.specials):
-            return self._library(text)
-        return encode_chunks(text, self._memo)
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return encode_chunks(text, self._chunks)
 
 
 @lru_cache(maxsize=2)
