@@ -1,8 +1,8 @@
 """Checksums and hashes that Spark has no function for.
 
 CRC-32C is computed for a whole batch at once: buffers are cut into segments
-that run in lock step, and the segments of a buffer are joined by the linear
-operator that appends a segment's worth of zero bytes.
+that run in lock step, and neighbours are joined in pairs by the linear operator
+that appends so many zero bytes.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _POLYNOMIAL = 0x82F63B78  # Castagnoli, reflected
-_SEGMENT = 1024
+_SEGMENT = 64
 
 
 def _byte_table() -> np.ndarray:
@@ -28,45 +28,53 @@ def _byte_table() -> np.ndarray:
 _TABLE = _byte_table()
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=64)
 def _zeros(n: int) -> np.ndarray:
-    """What n zero bytes make of each single bit of the register."""
-    if n == 0:
-        return np.uint32(1) << np.arange(32, dtype=np.uint32)
+    """What n zero bytes (a power of two) make of a register: a table for each
+    of its four bytes."""
+    tables = np.stack([np.arange(256, dtype=np.uint32) << np.uint32(8 * k) for k in range(4)])
     if n == 1:
-        bits = _zeros(0)
-        return _TABLE[bits & 0xFF] ^ (bits >> np.uint32(8))
+        return _TABLE[tables & np.uint32(0xFF)] ^ (tables >> np.uint32(8))
     half = _zeros(n // 2)
-    out = _apply(half, half)
-    return _apply(_zeros(1), out) if n % 2 else out
+    return _append(half, half)
 
 
-def _apply(operator: np.ndarray, values: np.ndarray) -> np.ndarray:
-    out = np.zeros_like(values)
-    for bit in range(32):
-        out ^= np.where(values >> np.uint32(bit) & np.uint32(1), operator[bit], np.uint32(0))
+def _append(tables: np.ndarray, register: np.ndarray) -> np.ndarray:
+    out = tables[0][register & np.uint32(0xFF)]
+    for k in range(1, 4):
+        out = out ^ tables[k][register >> np.uint32(8 * k) & np.uint32(0xFF)]
     return out
 
 
 def crc32c_many(buffers: list[bytes | None]) -> np.ndarray:
-    """CRC-32C of each buffer (None: empty)."""
-    raw = [b or b"" for b in buffers]
-    counts = np.array([-(-len(b) // _SEGMENT) for b in raw], dtype=np.int64)
-    first = np.concatenate(([0], np.cumsum(counts)))
-    data = np.zeros((int(first[-1]), _SEGMENT), dtype=np.uint8)
-    flat = data.reshape(-1)
-    for b, end in zip(raw, first[1:], strict=True):  # zeros in front do not count
-        if b:
-            flat[end * _SEGMENT - len(b) : end * _SEGMENT] = np.frombuffer(b, np.uint8)
-    register = np.zeros(len(data), dtype=np.uint32)
-    for column in np.ascontiguousarray(data.T):
-        register = _TABLE[(register ^ column) & np.uint32(0xFF)] ^ (register >> np.uint32(8))
-    total, step = np.zeros(len(raw), dtype=np.uint32), _zeros(_SEGMENT)
-    for k in range(int(counts.max(initial=0))):
-        on = counts > k
-        total[on] = _apply(step, total[on]) ^ register[first[:-1][on] + k]
-    start = np.array([_apply(_zeros(len(b)), np.array([0xFFFFFFFF], np.uint32))[0] for b in raw], dtype=np.uint32)
-    return total ^ start ^ np.uint32(0xFFFFFFFF)
+    """CRC-32C of each buffer (None: empty). Zeros in front of a buffer do not
+    count; the start value is folded into its first four bytes."""
+    out = np.zeros(len(buffers), dtype=np.uint32)
+    groups: dict[int, list[int]] = {}
+    for i, b in enumerate(buffers):
+        if b is not None and len(b) >= 4:
+            groups.setdefault(max(0, (-(-len(b) // _SEGMENT) - 1).bit_length()), []).append(i)
+        elif b:
+            register = 0xFFFFFFFF
+            for byte in b:
+                register = int(_TABLE[(register ^ byte) & 0xFF]) ^ register >> 8
+            out[i] = register ^ 0xFFFFFFFF
+    for level, members in groups.items():
+        width = _SEGMENT << level
+        data = np.zeros((len(members), width), dtype=np.uint8)
+        for row, i in zip(data, members, strict=True):
+            at = width - len(buffers[i])
+            row[at:] = np.frombuffer(buffers[i], np.uint8)
+            row[at : at + 4] ^= 0xFF
+        register = np.zeros((len(members), 1 << level), dtype=np.uint32)
+        for column in np.ascontiguousarray(data.reshape(len(members), -1, _SEGMENT).transpose(2, 0, 1)):
+            register = _TABLE[(register ^ column) & np.uint32(0xFF)] ^ (register >> np.uint32(8))
+        size = _SEGMENT
+        while register.shape[1] > 1:
+            register = _append(_zeros(size), register[:, 0::2]) ^ register[:, 1::2]
+            size *= 2
+        out[members] = register[:, 0] ^ np.uint32(0xFFFFFFFF)
+    return out
 
 
 def crc32c(data: bytes) -> int:

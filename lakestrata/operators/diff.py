@@ -155,24 +155,28 @@ def _ldeltas(rows: DataFrame) -> DataFrame:
     the whole pages where it saves too little."""
     out = to_arrow_schema(StructType.fromDDL(UNITS))
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        pages = sorted(table.to_pylist(), key=lambda r: r["page"])
+    def block(pages: list[dict]) -> list[dict]:
         raw = lambda side: b"".join(codecs.decode(r[f"{side}_codec"], r[f"{side}_payload"], r[f"{side}_raw_size"]) for r in pages if r[f"{side}_payload"] is not None)
         new = [r for r in pages if r["new_payload"] is not None]
         delta = bindiff.diff(raw("old"), raw("new"))
         whole = sum(len(r["new_payload"]) for r in new)
         common = {k: new[0][k] for k in ("entry", "block", "strategy", "flags", "shard", "old_block_hash", "new_block_hash", "page_size", "page_count")}
         if not whole or len(delta) * 1000 > whole * MAX_DELTA_PERMILLE:
-            made = [
+            return [
                 common | {"kind": "put_page_raw", "page": r["page"], "payload": r["new_payload"], "flags": common["flags"] | DOWNGRADED_RATIO, "old_stored_crc": r["old_stored_crc"]}
                 | {f: r[f"new_{f}"] for f in _FACTS} for r in new
             ]
-        else:
-            codec = new[0]["block_codec"]
-            made = [common | {"kind": "put_block_ldelta", "page": 0, "codec": codec, "codec_tag": codecs.build_tag(codec), "raw_size": sum(r["new_raw_size"] for r in new), "crc_sequence": crc_sequence_hash([r["new_raw_crc"] for r in new]), "payload": delta}]
-        return pa.Table.from_pylist([{c: m.get(c) for c in _UNIT} for m in made], schema=out)
+        codec = new[0]["block_codec"]
+        return [common | {"kind": "put_block_ldelta", "page": 0, "codec": codec, "codec_tag": codecs.build_tag(codec), "raw_size": sum(r["new_raw_size"] for r in new), "crc_sequence": crc_sequence_hash([r["new_raw_crc"] for r in new]), "payload": delta}]
 
-    return rows.groupBy("entry", "block").applyInArrow(run, UNITS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pages in batch.column("pages"):  # one block at a time
+                yield pa.RecordBatch.from_pylist([{c: m.get(c) for c in _UNIT} for m in block(pages.as_py())], schema=out)
+
+    names = [c for c in rows.columns if c != "page"]
+    blocks = rows.groupBy("entry", "block").agg(F.array_sort(F.collect_list(F.struct("page", *names))).alias("pages"))
+    return blocks.select("pages").mapInArrow(run, UNITS)
 
 
 def plan_units(base: Pack, target: Pack) -> DataFrame:

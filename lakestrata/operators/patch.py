@@ -209,17 +209,17 @@ def apply_units(pages: DataFrame, chain: list[Diff]) -> Patched:
                 made = [apply_page_chain(o, s) for o, s in zip(part.column("old").to_pylist(), part.column("steps").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_pylist([m for m in made if m is not None], schema=out)
 
-    whole = steps.where("composite")
-    keys = whole.select("entry", "block").distinct()
-    ordered = whole.withColumn("_n", F.row_number().over(Window.partitionBy("entry", "block").orderBy("place"))).select("_n", *step)
+    whole = steps.where("composite").groupBy("entry", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.struct(*step).alias("s")))), lambda x: x["s"]).alias("steps"))
+    of_blocks = current.join(whole.select("entry", "block"), ["entry", "block"], "left_semi").select(*_PAGE)
+    held = of_blocks.groupBy("entry", "block").agg(F.collect_list(F.struct(*_PAGE)).alias("pages"))
 
-    def run_blocks(key: tuple[pa.Scalar, ...], old: pa.Table, new: pa.Table) -> pa.Table:
-        todo = [{k: v for k, v in s.items() if k != "_n"} for s in sorted(new.to_pylist(), key=lambda s: s["_n"])]
-        made = apply_block({p["page"]: p for p in old.to_pylist()}, todo) if todo else {}
-        return pa.Table.from_pylist([made[k] for k in sorted(made)], schema=out)
+    def run_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pages, todo in zip(batch.column("pages"), batch.column("steps"), strict=True):  # one block at a time
+                made = apply_block({p["page"]: p for p in pages.as_py() or []}, todo.as_py())
+                yield pa.RecordBatch.from_pylist([made[k] for k in sorted(made)], schema=out)
 
-    of_blocks = current.join(keys, ["entry", "block"], "left_semi").select(*_PAGE)
-    blocks = of_blocks.groupBy("entry", "block").cogroup(ordered.groupBy("entry", "block")).applyInArrow(run_blocks, PAGES)
+    blocks = whole.join(held, ["entry", "block"], "left").select("pages", "steps").mapInArrow(run_blocks, PAGES)
     touched = chains.select("entry", "block", "page").unionByName(of_blocks.select("entry", "block", "page"))
     return Patched(touched.distinct(), paired.select("steps", "old").mapInArrow(run_pages, PAGES).unionByName(blocks), fold_file_ops(_stacked([d.file_ops for d in chain])), fold_paths(_stacked([d.path_delta for d in chain])))
 

@@ -85,11 +85,11 @@ def page_count(size: Column, page_size: Column) -> Column:
     return F.ceil(size / page_size).cast("int")
 
 
-def explode_pages(files: DataFrame, data: str = "data", page_size: str = "page_size") -> DataFrame:
-    """One row for each page of a file's bytes: block 0, page, raw. Empty files
-    have no page."""
-    n = page_count(F.octet_length(data), F.col(page_size))
-    each = files.where(F.octet_length(data) > 0).select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("page"))
+def explode_pages(files: DataFrame, data: str = "data", page_size: str = "page_size", length=F.octet_length) -> DataFrame:
+    """One row for each page of a file's bytes (with length=char_length: of a
+    text's characters): block 0, page, raw. Empty files have no page."""
+    n = page_count(length(data), F.col(page_size))
+    each = files.where(length(data) > 0).select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("page"))
     raw = F.substring(F.col(data), F.col("page") * F.col(page_size) + 1, F.col(page_size))
     return each.withColumn("raw", raw).withColumn("block", F.lit(0)).drop(data)
 
