@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracles import ORACLE_SQL
+
 
 def tokenizer(name: str) -> tuple[str, str]:
     import public_tokenizers
@@ -82,6 +84,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.find_repeats(_documents(spark, sf_dir), length=35).drop("repeats")
 
 
+__all__ = ["ORACLE_SQL", "QUERIES", "tokenizer"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_decontaminate": op2_decontaminate,
@@ -95,4 +99,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+

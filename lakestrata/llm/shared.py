@@ -1,27 +1,12 @@
-"""The folder that driver and executors share, and written tables in it."""
+"""Tables written to the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.work import base_dir, new_dir
 
-
-def base_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where that is unset (tests on
-    one machine) a folder of our own, remembered in the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.lakestrata.sharedDir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="lakestrata-")
-        spark.conf.set("spark.lakestrata.sharedDir", base)
-    return base.rstrip("/") if "://" in base or base.startswith("file:") else f"file://{base.rstrip('/')}"
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{base_dir(spark)}/lakestrata/{name}-{uuid.uuid4().hex}"
+__all__ = ["base_dir", "new_dir", "partitions_for", "written"]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
