@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..errors import Busy, Corruption, InvalidArgument, NotFound, OverlayBaseMismatch
+from ..errors import Busy, ChecksumMismatch, Corruption, InvalidArgument, NotFound, OverlayBaseMismatch
+from ..functions import codecs
+from ..functions.checksums import crc32c_many
 from ..functions.paths import checked_path, normalize
 from ..sources import fs
 from ..sources.pack import BLOCK, EXPLICIT_REFS, OVERLAY, REF, Pack, decode_pages, empty_pack, encode_pages, explode_pages, page_count, read_pack, write_pack
@@ -82,7 +88,9 @@ class Volume:
             same = [x for x in self.mounts if x.pack.id == m.pack.id]
             over, base = next((x for x in same if x.pack.is_overlay), None), next((x for x in same if not x.pack.is_overlay), None)
             rows.append((m.number, m.pack.id, m.pack.version, m.priority, over.number if over else m.number, base.number if over and base else None))
-        return self.spark.createDataFrame(rows, "mount int, pack_id long, pack_version long, priority long, top int, base int")
+        listed = ", ".join("({})".format(", ".join("cast(null as int)" if x is None else str(x) for x in r)) for r in rows)
+        found = self.spark.sql(f"SELECT * FROM VALUES {listed} AS t(mount, pack_id, pack_version, priority, top, base)")
+        return found.select("mount", *[F.col(c).cast("long").alias(c) for c in ("pack_id", "pack_version", "priority")], "top", "base")
 
     def _layers(self, table: str) -> DataFrame:
         if not self.mounts:
@@ -141,8 +149,41 @@ class Volume:
 
     def contents(self, entries: DataFrame | None = None) -> DataFrame:
         """(entry, data, missing) of all visible entries or the given ones, in
-        one job. A file with missing pages has null data."""
+        one job. A file with missing pages has null data.
+
+        Files are partitioned by entry and so are the stored pages, once; each
+        file is then put together where its pages are.
+        """
         entries = self.entries() if entries is None else entries
+        explicit = F.exists("blocks", lambda b: b["flags"].bitwiseAND(F.lit(EXPLICIT_REFS)) != 0)
+        plain = self._whole_files(entries.where(~explicit))
+        if not any(m.pack.manifest.get("explicit_refs", True) for m in self.mounts):
+            return plain
+        return plain.unionByName(self._referenced_files(entries.where(explicit)))
+
+    def _whole_files(self, entries: DataFrame) -> DataFrame:
+        """Files whose pages go by their own keys, in the top or base layer."""
+        served = self.mount_table().select("mount", "top", "base")
+        files = entries.select("entry", "mount", "blocks").join(F.broadcast(served), "mount").drop("mount")
+        stored = self._layers("pages").select("entry", "mount", F.struct("block", "page", "kind", "codec", "raw_size", "raw_crc", "payload").alias("p"))
+        wanted = files.select("entry", "top", "base")
+        mine = stored.join(wanted, "entry").where("mount = top or mount = base")
+        held = mine.groupBy("entry").agg(F.collect_list(F.struct((F.col("mount") == F.col("top")).alias("is_top"), "p.*")).alias("pages"))
+        joined = files.select("entry", F.transform("blocks", lambda b: F.struct(b["page_count"].alias("n"))).alias("blocks")).join(held, "entry", "left")
+        ddl = "entry long, data binary, missing long"
+        out = to_arrow_schema(StructType.fromDDL(ddl))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    part = batch.slice(at, 64)
+                    data, missing = _assemble(part.column("blocks").to_pylist(), part.column("pages").to_pylist())
+                    yield pa.RecordBatch.from_arrays([part.column("entry").cast(pa.int64()), pa.array(data, pa.binary()), pa.array(missing, pa.int64())], schema=out)
+
+        return joined.mapInArrow(run, ddl)
+
+    def _referenced_files(self, entries: DataFrame) -> DataFrame:
+        """Files whose pages may stand anywhere."""
         pages = self.page_sources(entries)
         raw = decode_pages(pages.where("kind = 'page'"), ["entry", "start"])
         whole = overlay.assemble(raw, ["entry"], "start", "raw")
@@ -243,7 +284,7 @@ class Volume:
     def _next(own: Pack, **tables) -> Pack:
         pack = own.with_(**tables)
         listed = pack.files.select(F.xxhash64("entry", "content_hash").cast("decimal(38,0)").alias("h")).agg(F.sum("h")).first()[0]
-        facts = {"pack_version": own.version + 1, "build_id": own.manifest.get("build_id", 0) + 1, "file_count": pack.files.count(), "tombstone_count": pack.tombstones.count(), "content_hash": f"{int(listed or 0) & (1 << 256) - 1:x}"}
+        facts = {"explicit_refs": True, "pack_version": own.version + 1, "build_id": own.manifest.get("build_id", 0) + 1, "file_count": pack.files.count(), "tombstone_count": pack.tombstones.count(), "content_hash": f"{int(listed or 0) & (1 << 256) - 1:x}"}
         return pack.with_(manifest=own.manifest | facts)
 
     # ----------------------------------------------------- the mount list itself
@@ -279,6 +320,31 @@ class Volume:
         return state["number"]
 
 
+def _assemble(blocks: list[list[dict]], pages: list[list[dict] | None]) -> tuple[list[bytes | None], list[int]]:
+    """The bytes of some files from what their blocks promise and the pages at
+    hand; all pages of the batch are decoded and checked together."""
+    chosen: list[list[dict | None]] = []
+    for of_file, stored in zip(blocks, pages, strict=True):
+        by_key: dict[tuple[int, int], dict] = {}
+        for p in stored or []:
+            if p["is_top"] or (p["block"], p["page"]) not in by_key:
+                by_key[p["block"], p["page"]] = p
+        found = [by_key.get((b, n)) for b, block in enumerate(of_file) for n in range(block["n"])]
+        chosen.append([p if p and p["kind"] == "page" else None for p in found])
+    flat = [p for file in chosen for p in file if p]
+    raw = [codecs.decode(p["codec"], p["payload"], p["raw_size"]) for p in flat]
+    for p, crc in zip(flat, crc32c_many(raw), strict=True):
+        if p["raw_crc"] != int(crc):
+            raise ChecksumMismatch("page")
+    at, data, missing = 0, [], []
+    for file in chosen:
+        n = sum(p is not None for p in file)
+        missing.append(len(file) - n)
+        data.append(b"".join(raw[at : at + n]) if n == len(file) else None)
+        at += n
+    return data, missing
+
+
 _PAGE = ["kind", "codec", "raw_size", "stored_size", "raw_crc", "stored_crc", "content_hash", "payload"]
 
 

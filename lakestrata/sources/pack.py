@@ -72,7 +72,7 @@ def empty_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def empty_pack(spark: SparkSession, pack_id: int, version: int, **more) -> Pack:
-    manifest = {"pack_id": pack_id, "pack_version": version, "build_id": 0, "flags": 0, "file_count": 0, "tombstone_count": 0, "content_hash": "", "shards": 1} | more
+    manifest = {"pack_id": pack_id, "pack_version": version, "build_id": 0, "flags": 0, "explicit_refs": False, "file_count": 0, "tombstone_count": 0, "content_hash": "", "shards": 1} | more
     return Pack(manifest, *(empty_table(spark, t) for t in TABLES))
 
 
@@ -195,7 +195,7 @@ def build_pack(files: DataFrame, pack_id: int, version: int, shards: int = 1, na
     paths = files.select("path", F.col("entry").cast("long").alias("entry"), F.lit(0).cast("long").alias("flags"))
     tombstones = tombstones if tombstones is not None else empty_table(spark, "tombstones")
     facts = {
-        "pack_id": pack_id, "pack_version": version, "pack_name": name, "build_id": build_id, "flags": 0, "shards": shards, "file_count": files.count(), "tombstone_count": tombstones.count(),
+        "pack_id": pack_id, "pack_version": version, "pack_name": name, "build_id": build_id, "flags": 0, "explicit_refs": False, "shards": shards, "file_count": files.count(), "tombstone_count": tombstones.count(),
         "content_hash": pack_content_hash(files) if files.limit(1).count() else hashlib.sha256(b"").hexdigest(),
     }
     return Pack(facts | manifest, file_rows, pages, paths, tombstones)
