@@ -173,11 +173,7 @@ def links_within(ids: np.ndarray, comps: np.ndarray, items: list[np.ndarray], pe
     names, count = np.unique(comps, return_counts=True)
     largest = names[np.argmax(count)]
     mark, found = np.zeros(len(unique), dtype=bool), []
-    for i in range(len(ids)):
-        if comps[i] == largest and left is None:  # its pairs are seen from the other side
-            continue
-        if left is not None and not left[i]:
-            continue
+    for i in np.flatnonzero(comps != largest if left is None else left):  # the other side's pairs are the same
         mine = code[starts[i] : starts[i] + sizes[i]]
         mark[mine] = True
         shared = np.add.reduceat(mark[code].astype(np.int32), starts)
@@ -196,24 +192,36 @@ def links_within(ids: np.ndarray, comps: np.ndarray, items: list[np.ndarray], pe
 def _rest(buckets: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links across the components that meet in a bucket. buckets: (key, id)."""
     placed = written(buckets.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("key", "n")
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+    mixed = sizes.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")).where("n_all > n_main")
     rows = written(placed.join(written(mixed, "mixed"), "key"), "rows")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    dealt = rows.select("key", "id", "component", mine.alias("mine"), other).select("key", "id", "component", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    # The main component against the rest, and the rest against itself; both
+    # cut into blocks, so that no group has more than two blocks of rows.
+    is_main = F.col("component") == F.col("main")
+    a_blocks, b_blocks = (F.ceil(n / BLOCK).cast("int") for n in (F.col("n_main"), F.col("n_all") - F.col("n_main")))
+    mine = F.pmod(F.xxhash64("id"), F.when(is_main, a_blocks).otherwise(b_blocks).cast("long")).cast("int")
+    dealt = rows.select("key", "id", "component", is_main.alias("is_main"), mine.alias("mine"), a_blocks.alias("na"), b_blocks.alias("nb"), (F.col("n_all") - F.col("n_main") > 1).alias("rest"))
+    group = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    of_main = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: group(0, F.col("mine"), x))
+    to_main = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda x: group(0, x, F.col("mine")))
+    among = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: group(1, F.least("mine", x), F.greatest("mine", x)))
+    groups = F.when(F.col("is_main"), of_main).when(F.col("rest"), F.concat(to_main, among)).otherwise(to_main)
+    dealt = dealt.select("key", "id", "component", "is_main", "mine", F.explode(groups).alias("g")).select("key", "id", "component", "is_main", "mine", "g.*")
     out = T.arrow_schema("a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
         ids, comps = table.column("id").to_numpy(), table.column("component").to_numpy()
-        i, j, mine = (table.column(c).to_numpy() for c in ("i", "j", "mine"))
+        kind, i, j = (table.column(c)[0].as_py() for c in ("kind", "i", "j"))
         items = [np.frombuffer(x, "<u8") for x in table.column("items").to_pylist()]
-        left = None if i[0] == j[0] else mine == i[0]
+        if kind == 0:
+            left = ~table.column("is_main").to_numpy(zero_copy_only=False)
+        else:
+            left = None if i == j else table.column("mine").to_numpy() == i
         found = links_within(ids, comps, items, percent, left) if left is None or (left.any() and not left.all()) else []
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], schema=out)
 
-    return dealt.join(sets, "id").groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return dealt.join(sets, "id").groupBy("key", "kind", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
