@@ -27,7 +27,7 @@ _SYMBOLS[list(b"#*$%&|<>")] = True
 
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "n_lines long, n_alpha_words long, max_word_chars long, n_shouted long"
+    "n_lines long, n_alpha_words long, max_word_chars long, n_shouted long, n_stuttered long"
 )
 
 
@@ -58,6 +58,9 @@ def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
         per_doc["n_shouted"][i] = int(np.count_nonzero((b >= 0x41) & (b <= 0x5A)))
     out |= per_doc
 
+    again = np.flatnonzero((h[1:] == h[:-1]) & (doc_of[1:] == doc_of[:-1])) + 1
+    out["n_stuttered"] = np.bincount(doc_of[again], minlength=count)  # words equal to the one before
+
     repeat = np.zeros(count, np.int64)
     w = T.window_hashes(h, WINDOW)
     if len(w):
@@ -88,6 +91,7 @@ RULES = {
     "words_without_letters": "10 * n_alpha_words < 5 * n_words",
     "endless_word": "max_word_chars > 4096",
     "shouting": "10 * n_shouted > 5 * word_chars",
+    "stuttering": "10 * n_stuttered > 3 * n_words",
 }
 _BIT = {name: i for i, name in enumerate(RULES)}
 
@@ -103,7 +107,7 @@ class Policy:
 
 
 BASE = Policy("base", ("too_few_words", "repeated_windows"))
-V1 = Policy("v1", (*BASE.rule_names, "symbols_per_word", "duplicate_lines", "short_words", "long_words", "words_without_letters", "endless_word", "shouting"))
+V1 = Policy("v1", (*BASE.rule_names, "symbols_per_word", "duplicate_lines", "short_words", "long_words", "words_without_letters", "endless_word", "shouting", "stuttering"))
 STRICT = Policy("strict", tuple(RULES))
 POLICIES = {p.version: p for p in (BASE, V1, STRICT)}
 

@@ -161,6 +161,13 @@ def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return dealt.withColumn("shard", shard.cast("int")).drop("h", "i", "cell")
 
 
+def write_shards(df: DataFrame, path: str, **options) -> None:
+    """Writes the documents as shard=0, shard=1, ... under a path, several files
+    in slot order for each shard."""
+    out = shard_documents(df, **options)
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
 def shard_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
     """What tells the sharding without the texts."""
     out = shard_documents(df, id_col, text_col, shards)

@@ -88,20 +88,21 @@ def _unpack(packed) -> np.ndarray:
 
 
 #: What is told of a finished text, and how it is made.
-RESULT = "n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:long,end:long>>"
+RESULT = "n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:long,end:long>>, kept_text string"
 
 
-def _result(text: str | None, ranges: np.ndarray, length: int) -> tuple:
+def _result(text: str | None, ranges: np.ndarray, length: int, with_text: bool) -> tuple:
     words = (text or "").encode("utf-8", "surrogatepass").split()  # \x20 and \x09-\x0D
     gone = cover(len(words), ranges, length)
     kept = b" ".join([w for w, g in zip(words, gone, strict=True) if not g]) if gone.any() else b" ".join(words)
     edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-    return len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), [{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)]
+    spans = [{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)]
+    return len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), spans, kept.decode("utf-8", "surrogatepass") if with_text else None
 
 
-def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """id, n_words, n_removed, kept_sha256 and the maximal repeats (in words) of
-    every row: stretches covered by passages of `length` words whose words
+def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+    """id, n_words, n_removed, kept_sha256, the maximal repeats (in words) and, if
+    asked for, the kept words (joined by one space) of every row: stretches covered by passages of `length` words whose words
     stand in the same order anywhere else in the table."""
     docs = _keyed(df, id_col, text_col)
     id_type = docs.schema["_id"].dataType.simpleString()
@@ -131,9 +132,9 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 for text, known, ahash, ranges, odd in zip(*(part.column(c).to_pylist() for c in ("_text", "known", "ahash", "range", "odd")), strict=True):
                     if not ranges or not any(odd):
                         passages = _passages(text, ahash, ranges, odd, length) if ranges else None
-                        rows.append((*_result(text, _unpack(known or []), length), None, None, passages))
+                        rows.append((*_result(text, _unpack(known or []), length, with_text), None, None, passages))
                     else:
-                        rows.append((None, None, None, None, text, known or [], _passages(text, ahash, ranges, odd, length)))
+                        rows.append((None, None, None, None, None, text, known or [], _passages(text, ahash, ranges, odd, length)))
                 made = list(zip(*rows, strict=True)) if rows else [()] * (len(out) - 3)
                 yield pa.RecordBatch.from_arrays([part.column(c).cast(out.field(c).type) for c in ("k1", "k2", "_id")] + [pa.array(list(v), f.type) for v, f in zip(made, list(out)[3:], strict=True)], schema=out)
 
@@ -147,12 +148,13 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def last_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_result(text, _unpack([*known, *(late or [])]), length) for text, known, late in zip(*(batch.column(c).to_pylist() for c in ("_text", "known", "late")), strict=True)]
-            made = list(zip(*rows, strict=True)) if rows else [()] * 4
+            rows = [_result(text, _unpack([*known, *(late or [])]), length, with_text) for text, known, late in zip(*(batch.column(c).to_pylist() for c in ("_text", "known", "late")), strict=True)]
+            made = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column("_id").cast(last_out[0].type)] + [pa.array(list(v), f.type) for v, f in zip(made, list(last_out)[1:], strict=True)], schema=last_out)
 
-    done = looked.where("n_words is not null").select("_id", "n_words", "n_removed", "kept_sha256", "repeats")
-    return done.union(waiting.mapInArrow(last_look, last_ddl)).withColumnRenamed("_id", id_col)
+    done = looked.where("n_words is not null").select("_id", "n_words", "n_removed", "kept_sha256", "repeats", "kept_text")
+    out = done.union(waiting.mapInArrow(last_look, last_ddl)).withColumnRenamed("_id", id_col)
+    return out if with_text else out.drop("kept_text")
 
 
 def _passages(text: str | None, ahash: list[int], ranges: list[int], odd: list[bool], length: int) -> list[dict]:

@@ -33,9 +33,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.running import running_sums
 from . import text as T
 from .bpe import Chunks, byte_letters, encode_chunks
 from .shared import new_dir, partitions_for
@@ -242,8 +243,9 @@ def write_store(df: DataFrame, tokenizer: str, pattern: str, end_id: int, id_col
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """The files in order, each with the number of tokens before it."""
-    before = Window.orderBy("part", "segment").rowsBetween(Window.unboundedPreceding, -1)
-    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest").withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    files = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    placed = files.select("*", F.lit(0).alias("all"), (F.col("part").cast("long") * (1 << 20) + F.col("segment")).alias("place"))
+    return running_sums(placed, ["all"], "place", {"start": F.col("n_tokens")}, step=1 << 30).drop("all", "place")
 
 
 def read_store(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:

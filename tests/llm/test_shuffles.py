@@ -123,6 +123,9 @@ def test_sharding(spark):
     rows = shard.shard_digest(hot, shards=24).collect()
     _check_shards(rows, 24, shard.TOLERANCE)
     assert shard.shard_digest(docs.limit(0)).count() == 0
+    shard.write_shards(docs, f"{spark.conf.get('spark.checkpoint.dir')}/shards", shards=5)
+    back = spark.read.parquet(f"{spark.conf.get('spark.checkpoint.dir')}/shards")
+    assert back.count() == docs.count() and back.select("shard").distinct().count() <= 5
     nulls = spark.createDataFrame([(None, None)] * 3 + [(2, "x")], "doc_id long, text string")
     assert sorted(r.slot for r in shard.shard_digest(nulls, shards=1).collect()) == [0, 1, 2, 3]
 
@@ -218,7 +221,8 @@ def test_substring(spark):
         gone = {j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         want.append((doc_id, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    got = substring.find_repeats(cases.documents(spark)).collect()
+    got = substring.find_repeats(cases.documents(spark), with_text=True).collect()
     assert sorted(tuple(r)[:4] for r in got) == sorted(want)
+    assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
     assert all(sum(x.end - x.start for x in r.repeats) == r.n_removed for r in got)
     assert substring.find_repeats(cases.documents(spark, [])).count() == 0
