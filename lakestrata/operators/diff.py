@@ -125,13 +125,14 @@ def block_decisions(base: Pack, target: Pack) -> DataFrame:
 _FACTS = ["codec", "raw_size", "stored_size", "raw_crc", "stored_crc", "content_hash"]
 
 
-def _unit(values: dict, schema: DataFrame | None = None) -> list[Column]:
+def _unit(values: dict) -> list[Column]:
     types = dict(c.split(" ", 1) for c in UNITS.split(", "))
     return [(values[c] if c in values else F.lit(None)).cast(types[c]).alias(c) for c in _UNIT]
 
 
 def _pdeltas(rows: DataFrame) -> DataFrame:
-    """Deltas of stored pages; those that save too little become whole pages."""
+    """Makes the deltas among page units; those that save too little become
+    whole pages."""
     out = to_arrow_schema(StructType.fromDDL(UNITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,12 +140,14 @@ def _pdeltas(rows: DataFrame) -> DataFrame:
             made = []
             for row in batch.to_pylist():
                 old, whole = row.pop("old_payload"), row["payload"]
+                made.append(row)
+                if row["kind"] != "put_page_pdelta":
+                    continue
                 delta = bindiff.diff(old, whole)
                 if not whole or len(delta) * 1000 > len(whole) * MAX_DELTA_PERMILLE:
-                    row |= {"kind": "put_page_raw", "flags": row["flags"] | DOWNGRADED_RATIO}
+                    row |= {"kind": "put_page_raw", "codec_tag": None, "flags": row["flags"] | DOWNGRADED_RATIO}
                 else:
                     row["payload"] = delta
-                made.append(row)
             yield pa.RecordBatch.from_pylist(made, schema=out)
 
     return rows.mapInArrow(run, UNITS)
@@ -176,7 +179,8 @@ def _ldeltas(rows: DataFrame) -> DataFrame:
 
     names = [c for c in rows.columns if c != "page"]
     blocks = rows.groupBy("entry", "block").agg(F.array_sort(F.collect_list(F.struct("page", *names))).alias("pages"))
-    return blocks.select("pages").mapInArrow(run, UNITS)
+    changed = blocks.where(F.exists("pages", lambda p: ~p["equal"]))
+    return changed.select("pages").mapInArrow(run, UNITS)
 
 
 def plan_units(base: Pack, target: Pack) -> DataFrame:
@@ -191,24 +195,27 @@ def plan_units(base: Pack, target: Pack) -> DataFrame:
     decided = block_decisions(base, target)
     rows = both.withColumn("equal", equal).join(decided, ["entry", "block"], "left")
 
-    new = {c: F.col(f"n.{c}") for c in [*_FACTS, "payload", "shard"]} | {c: F.col(c) for c in ("entry", "block", "page", "strategy", "old_block_hash", "new_block_hash", "page_size", "page_count")}
-    is_new = F.when(F.col("o").isNull() & (F.col("strategy") == "page"), F.col("flags").bitwiseOR(F.lit(NEW_BLOCK).cast("long"))).otherwise(F.col("flags"))
-    raw = rows.where("n is not null and not equal and (strategy = 'replace' or (strategy = 'page' and o is null))")
-    raw = raw.select(*_unit(new | {"kind": F.lit("put_page_raw"), "flags": is_new, "old_stored_crc": F.col("o.stored_crc")}))
+    # Pages that travel by themselves, in one pass; deltas are made where both
+    # payloads are at hand.
+    has_old, has_new = F.col("o").isNotNull(), F.col("n").isNotNull()
+    kind = F.when(~has_new, "delete_page").when((F.col("strategy") == "page") & has_old, "put_page_pdelta").otherwise("put_page_raw")
+    flags = F.when(~has_new, 0).when(~has_old & (F.col("strategy") == "page"), F.col("flags").bitwiseOR(F.lit(NEW_BLOCK).cast("long"))).otherwise(F.col("flags"))
     tag = F.col("n.codec")
     for codec in codecs.CODECS:
         tag = F.when(F.col("n.codec") == codec, codecs.build_tag(codec)).otherwise(tag)
-    delta = rows.where("n is not null and o is not null and not equal and strategy = 'page'")
-    delta = _pdeltas(delta.select(*_unit(new | {"kind": F.lit("put_page_pdelta"), "flags": F.col("flags"), "codec_tag": tag, "old_stored_crc": F.col("o.stored_crc")}), F.col("o.payload").alias("old_payload")))
-    gone = rows.where("n is null").select(*_unit({"kind": F.lit("delete_page"), "entry": F.col("entry"), "block": F.col("block"), "page": F.col("page"), "strategy": F.lit("replace"), "flags": F.lit(0), "shard": F.col("o.shard"), "old_stored_crc": F.col("o.stored_crc")}))
+    values = {c: F.col(f"n.{c}") for c in [*_FACTS, "payload"]} | {c: F.when(has_new, F.col(c)) for c in ("old_block_hash", "new_block_hash", "page_size", "page_count")}
+    values |= {
+        "kind": kind, "entry": F.col("entry"), "block": F.col("block"), "page": F.col("page"), "strategy": F.when(has_new, F.col("strategy")).otherwise("replace"), "flags": flags,
+        "shard": F.coalesce("n.shard", "o.shard"), "codec_tag": F.when(kind == "put_page_pdelta", tag), "old_stored_crc": F.col("o.stored_crc"),
+    }
+    single = rows.where("n is null or (not equal and strategy in ('replace', 'page'))")
+    single = _pdeltas(single.select(*_unit(values), F.when(kind == "put_page_pdelta", F.col("o.payload")).alias("old_payload")))
     names = _blocks(target.files).select("entry", "block", F.col("b.codec").alias("block_codec"))
-    of_block = rows.where("strategy = 'logical'").join(names, ["entry", "block"])
-    differs = of_block.groupBy("entry", "block").agg(F.max((~F.col("equal")).cast("int")).alias("d")).where("d = 1").select("entry", "block")
-    of_block = of_block.join(differs, ["entry", "block"], "left_semi").select(
-        "entry", "block", "page", "strategy", "flags", "block_codec", F.coalesce("n.shard", "o.shard").alias("shard"), "old_block_hash", "new_block_hash", "page_size", "page_count",
+    of_block = rows.where("strategy = 'logical'").join(names, ["entry", "block"]).select(
+        "entry", "block", "page", "equal", "strategy", "flags", "block_codec", F.coalesce("n.shard", "o.shard").alias("shard"), "old_block_hash", "new_block_hash", "page_size", "page_count",
         *[F.col(f"{s}.{c}").alias(f"{t}_{c}") for s, t in (("o", "old"), ("n", "new")) for c in [*_FACTS, "payload"]],
     )
-    return raw.unionByName(delta).unionByName(_ldeltas(of_block)).unionByName(gone)
+    return single.unionByName(_ldeltas(of_block))
 
 
 def canonical_order(units: DataFrame) -> DataFrame:
