@@ -83,6 +83,11 @@ def crc32c(data: bytes) -> int:
     return int(crc32c_many([data])[0])
 
 
+def crc32c_zeroed(data: bytes, at: int) -> int:
+    """CRC-32C as if the four bytes at `at` (a stored checksum) were zero."""
+    return crc32c(data[:at] + bytes(4) + data[at + 4 :])
+
+
 @lru_cache(maxsize=1)
 def _crc_udf():
     @F.arrow_udf("long")

@@ -235,8 +235,13 @@ def diff_packs(base: Pack, target: Pack) -> Diff:
     none = F.lit(None).cast(ops.schema["file"].dataType)
     gone = changes.where("change = 'removed'").select(F.lit("delete_file_manifest").alias("op"), "entry", F.lit(None).cast("long").alias("version"), F.lit(None).cast("string").alias("reason"), none.alias("file"))
     marks = tombstone_changes(base.tombstones, target.tombstones).withColumn("file", none)
-    diff = Diff({}, units, ops.unionByName(gone).unionByName(marks), path_changes(base.paths, target.paths))
-    facts = {k: target.manifest.get(k) for k in ("file_count", "tombstone_count", "build_id", "flags", "pack_name")}
+    ops = ops.unionByName(gone).unionByName(marks)
+    if target.manifest.get("directory") != base.manifest.get("directory"):  # put when changed, never deleted
+        one = target.files.sparkSession.range(1)
+        put = one.select(F.lit("put_directory_manifest").alias("op"), F.lit(0).cast("long").alias("entry"), F.lit(None).cast("long").alias("version"), F.lit(None).cast("string").alias("reason"), none.alias("file"))
+        ops = ops.unionByName(put)
+    diff = Diff({}, units, ops, path_changes(base.paths, target.paths))
+    facts = {k: target.manifest.get(k) for k in ("file_count", "tombstone_count", "build_id", "flags", "pack_name", "directory")}
     manifest = {"pack_id": base.id, "base_version": base.version, "target_version": target.version, "base_content_hash": base.manifest["content_hash"], "target_content_hash": target.manifest["content_hash"], "target": facts}
     return Diff(manifest, diff.units, diff.file_ops, diff.path_delta)
 

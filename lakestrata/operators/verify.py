@@ -56,8 +56,15 @@ def duplicate_entries(paths: DataFrame) -> DataFrame:
     return paths.withColumn("_n", F.row_number().over(Window.partitionBy("entry").orderBy("path"))).where("_n > 1").drop("_n")
 
 
-def verify_pack(pack: Pack, base: Pack | None = None) -> DataFrame:
-    """Issues (kind, entry, block, page, path). An overlay may leave pages and
+def only_entries(pack: Pack, entries: DataFrame) -> Pack:
+    """The part of a pack that concerns some entries."""
+    part = lambda df: df.join(entries.select("entry").distinct(), "entry", "left_semi")
+    return pack.with_(files=part(pack.files), pages=part(pack.pages), paths=part(pack.paths), tombstones=part(pack.tombstones))
+
+
+def verify_pack(pack: Pack, base: Pack | None = None, counts: bool = True) -> DataFrame:
+    """Issues (kind, entry, block, page, path). counts=False leaves out the
+    manifest's counts, for a part of a pack. An overlay may leave pages and
     manifests to its base; with the base given, both are looked at together."""
     files, pages, over = pack.files, pack.pages, pack.is_overlay
     spark = files.sparkSession
@@ -70,7 +77,7 @@ def verify_pack(pack: Pack, base: Pack | None = None) -> DataFrame:
         add(nothing, "pack_manifest_invalid")
     if m.get("patch_in_progress"):
         add(nothing, "patch_in_progress")
-    if not over:
+    if not over and counts:
         for table, kind, count in ((files, "manifest_file_count_mismatch", m.get("file_count")), (pack.tombstones, "manifest_tombstone_count_mismatch", m.get("tombstone_count"))):
             add(table.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != count).select(), kind)
 

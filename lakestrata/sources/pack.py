@@ -155,6 +155,14 @@ def check_inputs(files: DataFrame) -> None:
             raise KeyCollision(f"{key} {twice[0][0]}")
 
 
+def directory_facts(paths: DataFrame, file_count: int) -> dict:
+    """Counts of the directory manifest: all directories above the paths."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    named = paths.where(F.contains("path", F.lit("/"))).select(F.explode(above).alias("directory"))
+    return {"directory_count": named.distinct().count(), "file_count": file_count, "flags": 0}
+
+
 HASH_STEP = 1 << 16
 
 
@@ -194,8 +202,9 @@ def build_pack(files: DataFrame, pack_id: int, version: int, shards: int = 1, na
     pages = encode_pages(explode_pages(files.select("entry", "data", "page_size", "codec")), shards)
     paths = files.select("path", F.col("entry").cast("long").alias("entry"), F.lit(0).cast("long").alias("flags"))
     tombstones = tombstones if tombstones is not None else empty_table(spark, "tombstones")
+    n_files = files.count()
     facts = {
-        "pack_id": pack_id, "pack_version": version, "pack_name": name, "build_id": build_id, "flags": 0, "explicit_refs": False, "shards": shards, "file_count": files.count(), "tombstone_count": tombstones.count(),
+        "directory": directory_facts(paths, n_files), "pack_id": pack_id, "pack_version": version, "pack_name": name, "build_id": build_id, "flags": 0, "explicit_refs": False, "shards": shards, "file_count": n_files, "tombstone_count": tombstones.count(),
         "content_hash": pack_content_hash(files) if files.limit(1).count() else hashlib.sha256(b"").hexdigest(),
     }
     return Pack(facts | manifest, file_rows, pages, paths, tombstones)

@@ -19,6 +19,7 @@ def test_crc32c_vectors(spark):
         for b in data:
             register = int(checksums._TABLE[(register ^ b) & 0xFF]) ^ register >> 8
         assert checksums.crc32c(data) == register ^ 0xFFFFFFFF
+    assert checksums.crc32c_zeroed(b"abWXYZcd", 2) == checksums.crc32c(b"ab\0\0\0\0cd")
     got = spark.createDataFrame([(bytearray(b"123456789"),), (None,)], "d binary").select(checksums.crc32c_column(F.col("d"))).collect()
     assert [r[0] for r in got] == [0xE3069283, 0]
 

@@ -220,7 +220,8 @@ def test_patched_equals_built(spark, world):
         report = patch.patch_pack(spark, one, [f"{root}/{d}"], verify="full")
         assert report.to_version == to and contents(pack.read_pack(spark, one)) == contents(packs[to])
     merged = copy(root, "merged")
-    assert patch.patch_pack(spark, merged, [f"{root}/d12", f"{root}/d23"], 3).diffs == 2
+    assert patch.patch_pack(spark, merged, [f"{root}/d12", f"{root}/d23"], 3, verify="touched").diffs == 2
+    assert pack.read_pack(spark, merged).manifest["directory"] == {"directory_count": 1, "file_count": 6, "flags": 0}
     assert contents(pack.read_pack(spark, merged)) == contents(packs[3])
     best = copy(root, "best")
     assert patch.patch_pack(spark, best, [f"{root}/{d}" for d in ("d12", "d23", "d13")]).diffs == 1
