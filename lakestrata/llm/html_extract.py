@@ -37,8 +37,8 @@ _SKIP = frozenset("head nav footer aside form script style noscript template but
 _SKIP_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status note".split())
 #: Words in a class or id that name what is no article text.
 _SKIP_NAME = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs byline-ads comment comments commentlist consent cookie cookies copyright disclaimer disqus dropdown "
-    "footer footnav gdpr hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup print-only promo promotion "
+    "ad ads adv advert adverts advertisement advertising adsense adslot banner bottom breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer disqus dropdown "
+    "footer footnav gdpr hidden login masthead menu menubar meta modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup print-only promo promotion "
     "recommended related reply replies respond search share sharing sidebar sidebars signin signup skip social sponsor sponsored sponsors subscribe subscription taboola tagcloud teaser toolbar topbar tracking widget widgets".split()
 )
 _CONTENT_NAME = frozenset("article post entry content body text story main".split())
@@ -128,8 +128,8 @@ class Lines(HTMLParser):
         self.tags += not self.skipping
         if tag in _VOID:
             return
-        if tag in _SCOPE and self.skipping and not any(e.skipped and not e.named for e in self.stack):
-            while any(e.skipped for e in self.stack):  # a named part that was never closed
+        if tag in _SCOPE and self.skipping and not self.scopes and not any(e.skipped and not e.named for e in self.stack):
+            while any(e.skipped for e in self.stack):  # a named part before it that was never closed
                 self._pop()
         values = dict(attrs)
         in_scope = any(e.scope is not None for e in self.stack)
@@ -228,6 +228,10 @@ def content(lines: list[Line]) -> list[Line]:
             scopes = {max(sizes, key=sizes.__getitem__)}
         return [x for x in lines if x.scope in scopes]
     marked = [i for i, g in enumerate(good) if g]
+    if not marked:
+        return []
+    while marked and _LEGAL.match(lines[marked[-1]].text):
+        marked.pop()
     if not marked:
         return []
     first, last = marked[0], marked[-1]
@@ -236,6 +240,8 @@ def content(lines: list[Line]) -> list[Line]:
     return [x for i, x in enumerate(lines[first : last + 1], first) if good[i] or 2 * x.link_chars <= len(x.text)]
 
 
+#: How the last line of a page without further marks may begin.
+_LEGAL = re.compile(r"(?i)(?:©|\(c\)|copyright\b|all rights reserved)")
 _CUT_TAG = re.compile(r"<[/!a-zA-Z][^<>]*\Z")
 
 
