@@ -102,6 +102,9 @@ IDENTIFIERS = {
     "elastic": r"elastic 2 0", "academic": r"afl \d \d", "osl": r"osl \d \d", "ncsa": r"ncsa", "vim": r"vim", "upl": r"upl 1 0", "json": r"json", "beerware": r"beerware",
 }
 
+#: Short names that need a version.
+SHORT = {k: rf"{k} v?\d+(?: \d+)?" for k in ("gpl", "lgpl", "agpl", "mpl", "epl", "cddl", "eupl", "apache")}
+
 #: Sentences that only one license has.
 SENTENCES = {
     "mit": (r"permission is hereby granted free of charge to any person obtaining a copy", r"the software is provided as is without warranty of any kind express or implied"),
@@ -132,7 +135,7 @@ ADDRESSES = {
 #: Words of which a text must hold one before any rule runs, and what each gates.
 KEYWORDS = (
     "licen", "gpl", "cc", "creative", "creativecommons", "copyright", "reserved", "public domain", "permission", "redistribut", "proprietary", "unauthorized", "bsd",
-    "unlicense", "wtfpl", "merchantability", "warranty", "spdx", "psf", "mozilla org mpl", "eclipse org legal", "same terms as ruby", "altered source", "reproduced", "opendatacommons", "sil org", "apache org", "boost org", "opensource org", "gnu org", "clause",
+    "unlicense", "wtfpl", "merchantability", "warranty", "spdx", "psf", "mozilla org mpl", "eclipse org legal", "same terms as ruby", "altered source", "reproduced", "opendatacommons", "sil org", "apache", "mpl", "epl", "cddl", "eupl", "boost org", "opensource org", "gnu org", "clause",
 )
 
 
@@ -166,6 +169,7 @@ def signatures() -> tuple[Signature, ...]:
     made += [(k, "address", 0.9, "", p, "") for k, p in ADDRESSES.items()]
     made += [(k, "sentence", 0.9, "", p, "") for k, ps in SENTENCES.items() for p in ps]
     made += [(k, "name", 0.7, "", p, tail) for k, names in FAMILIES.items() for p in names]
+    made += [(k, "name", 0.6, "", p, _OR_LATER) for k, p in SHORT.items()]
     forms = ("identifier", "grant", "address", "sentence", "name")
     return tuple(
         Signature(k, form, (len(forms) - forms.index(form)) * 1000 - i, weight, re.compile(rf"(?<= ){before}(?:{core}){after}(?= )"), _keyword(core))

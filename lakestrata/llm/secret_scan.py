@@ -35,7 +35,7 @@ _ASSIGN_GATE = re.compile(r"[Ww][Oo]?[Rr]?[Dd][\"' :=]|[Rr][Ee][Tt][\"' :=]|[Kk]
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128})")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
-_NUMBER = re.compile(r"[0-9+/_=-]+")
+_NUMBER = re.compile(r"[0-9+/_=-]+|[0-9]{4}[0-9TZ+_-]+")  # numbers, dates and times
 _NAME = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})(?:[+/_=-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}))*[+/_=-]*")
 RATIO = 2.2
 

@@ -71,6 +71,7 @@ def test_licenses(spark):
         ("Licensed under CC BY-NC 4.0.", {"cc-by-nc"}),
         ("This work is licensed under the GNU Lesser General Public License, version 3.", {"lgpl"}),
         ("Mozilla Public License 2.0, see https://www.mozilla.org/MPL/", {"mpl"}),
+        ("released under GPL v3", {"gpl"}),
         ("accept the terms", set()),
     ],
 )
@@ -107,7 +108,7 @@ def test_random_strings_and_exceptions():
     enc = secret_scan.encoding(*tokenizer("byte_bpe_50k.tiktoken"))
     found = lambda t: [k for _, k, _ in secret_scan.find(t, enc)[1]]
     assert found("key x9Kq2LmZ8vTr4WpB7nYc3Hd6Fj1 end") == ["random"]
-    for clean in ("550e8400-e29b-41d4-a716-446655440000", "D41D8CD98F00B204E9800998ECF8427E", "an_ordinary_function_name_2024", "12345678901234567890123", "thonestitioneringedhehahe"):
+    for clean in ("550e8400-e29b-41d4-a716-446655440000", "D41D8CD98F00B204E9800998ECF8427E", "an_ordinary_function_name_2024", "12345678901234567890123", "2024-01-01T00-00-00+00-00-99999", "thonestitioneringedhehahe"):
         assert found(clean) == [], clean
     text = 'a token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" b'
     assert secret_scan.mask(text, secret_scan.find(text, enc)[1]) == 'a [SECRET]" b'
