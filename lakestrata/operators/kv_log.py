@@ -27,8 +27,8 @@ def committed(log: DataFrame) -> DataFrame:
 
 def torn_prefix(journal: DataFrame, good: Column) -> DataFrame:
     """Rows before the first bad one: a journal is read up to its torn tail."""
-    bad = journal.agg(F.min(F.when(~good, F.col("seq"))).alias("_bad"))
-    return journal.crossJoin(F.broadcast(bad)).where("_bad is null or seq < _bad").drop("_bad")
+    bad = journal.agg(F.min(F.when(~good, F.col("seq")))).first()[0]
+    return journal if bad is None else journal.where(F.col("seq") < bad)
 
 
 def fold(rows: DataFrame) -> DataFrame:
@@ -51,11 +51,11 @@ def key_state(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 def versions(rows: DataFrame) -> DataFrame:
     """Puts with their version: 1 for a first put and after a delete, else one
-    more than before, in log order."""
-    order = Window.partitionBy("key").orderBy("seq")
-    era = rows.withColumn("_era", F.sum(F.when(F.col("op") == "delete", 1).otherwise(0)).over(order))
-    number = F.row_number().over(Window.partitionBy("key", "_era").orderBy("seq"))
-    return era.where("op = 'put'").withColumn("version", number.cast("long")).drop("_era")
+    more than before, in log order. Counted by steps of the log, so that a hot
+    key is no single task's work."""
+    counted = running_sums(rows, ["key"], "seq", {"_era": (F.col("op") == "delete").cast("int"), "_puts": (F.col("op") == "put").cast("int")}).where("op = 'put'")
+    first = counted.groupBy("key", "_era").agg(F.min("_puts").alias("_first"))
+    return counted.join(first, ["key", "_era"]).select(*rows.columns, (F.col("_puts") - F.col("_first") + 1).alias("version"))
 
 
 def as_of(rows: DataFrame, seq: int) -> DataFrame:
