@@ -27,10 +27,10 @@ def resolve_entries(files: DataFrame, tombstones: DataFrame) -> DataFrame:
     """The visible row of every entry. Files and tombstones are judged by their
     keys alone; contents join afterwards only for the winners, so no payload is
     shuffled for a file that is hidden."""
-    keys = files.select("entry", RANK, F.lit(0).alias("_dead"))
-    marks = keys.unionByName(tombstones.select("entry", RANK, F.lit(1).alias("_dead")))
-    top = marks.groupBy("entry").agg(F.max(F.struct(RANK, "_dead")).alias("_top")).where("_top._dead = 0")
-    return files.join(top.select("entry", f"_top.{RANK}"), ["entry", RANK])
+    rank = F.col(RANK).cast("long") * 2  # a tombstone is just above the files of its layer
+    marks = files.select("entry", rank.alias("_rank")).unionByName(tombstones.select("entry", (rank + 1).alias("_rank")))
+    top = marks.groupBy("entry").agg(F.max("_rank").alias("_rank")).where("_rank % 2 = 0")
+    return files.join(top.select("entry", F.expr("_rank div 2").cast(files.schema[RANK].dataType).alias(RANK)), ["entry", RANK])
 
 
 def open_paths(paths: DataFrame, files: DataFrame, tombstones: DataFrame) -> DataFrame:
