@@ -13,7 +13,7 @@ def base_dir(spark: SparkSession) -> str:
     one machine) a folder of our own, remembered in the session."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.lakestrata.sharedDir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="lakestrata-")
         spark.conf.set("spark.lakestrata.sharedDir", base)
