@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 
 import numpy as np
 import pytest
@@ -114,6 +115,18 @@ def test_random_strings_and_exceptions():
     assert secret_scan.mask(text, secret_scan.find(text, enc)[1]) == 'a [SECRET]" b'
 
 
+@pytest.mark.parametrize("signs", [string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase])
+def test_random_letters_without_a_digit(signs):
+    enc = secret_scan.encoding(*tokenizer("byte_bpe_50k.tiktoken"))
+    rng = random.Random(5)
+    for n in (20, 24, 32, 64):
+        runs = ["".join(rng.choice(signs) for _ in range(n)) for _ in range(2000)]
+        masked = [secret_scan.mask(f"a {r} b", secret_scan.find(f"a {r} b", enc)[1]) == "a [SECRET] b" for r in runs]
+        assert sum(masked) >= 1960, n
+    for clean in ("internationalisation", "INTERNATIONALIZATION", "acknowledgementOfReceipt", "Rechtsschutzversicherungsgesellschaften", "/company/projects/documentation/download/"):
+        assert secret_scan.find(clean, enc)[1] == [], clean
+
+
 def test_redact_keeps_rows_and_columns(spark):
     docs = cases.documents(spark)
     out = secret_scan.redact(docs, *tokenizer("byte_bpe_50k.tiktoken"))
