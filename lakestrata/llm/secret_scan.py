@@ -5,7 +5,10 @@ characters: prose and names take few tokens for their length under a public
 byte-pair vocabulary, random strings take many. A run counts as `random` when
 its characters per token stay under a limit, with digits or without, unless it
 is a known digest, an identifier, a number, a date, or a name: words and short
-numbers with all parts between + / _ = - under 12 characters.
+numbers with all parts between + / _ = - under 12 characters. A run that passes
+as a whole is searched for parts between / _ = - and maximal stretches of tokens
+that do not pass, so text in front of a secret does not hide it. Runs, parts and
+stretches under 20 characters are not tested.
 
 Spans are in code points, the end excluded. Defined results: null and empty
 texts have no spans; repeated rows are scanned each by itself; only id and text
@@ -18,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -37,8 +41,13 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128})")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
 _NUMBER = re.compile(r"[0-9+/_=-]+|[0-9]{4}[0-9TZ+_-]+")  # numbers, dates and times
-_NAME = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})(?:[+/_=-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}))*[+/_=-]*")
+_NAME_PART = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})+")
 RATIO = 2.2
+LEAST = 20  # characters of a run, and of a part or stretch of one
+_JOINTS = "/_=-"
+_PART = re.compile(r"[^/_=-]+")
+#: Identifiers and numbers within a run; no stretch goes over them.
+_UNIT = re.compile(rf"(?<![0-9A-Za-z])(?:{_UUID.pattern}|{_DIGEST.pattern}|[0-9][0-9TZ+/_=-]{{6,}}[0-9Z])(?![0-9A-Za-z])")
 
 
 @lru_cache(maxsize=4)
@@ -56,10 +65,10 @@ def encoding(path: str, pattern: str):
 def known(run: str) -> bool:
     """Digests, UUIDs, numbers and names built from words are no secrets."""
     core = run.strip("+/_=-")
-    if _DIGEST.fullmatch(core) or _UUID.fullmatch(core) or _NUMBER.fullmatch(core):
+    if not core or _DIGEST.fullmatch(core) or _UUID.fullmatch(core) or _NUMBER.fullmatch(core):
         return True
     parts = re.split(r"[+/_=-]+", core)
-    return max(map(len, parts)) < 12 and bool(_NAME.fullmatch(core))
+    return max(map(len, parts)) < 12 and all(map(_NAME_PART.fullmatch, parts))  # by parts: no backtracking over the whole
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -73,9 +82,71 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
+def _stretches(sizes: list[int], ratio: float) -> list[tuple[int, int]]:
+    """The disjoint maximal stretches of tokens with the most tokens above
+    characters / ratio (maximal scoring subsequences, in linear time)."""
+    out: list[tuple[int, int, float, float, int]] = []  # start, end, sums before and after, the last one that starts lower
+    total = 0.0
+    for i, n in enumerate(sizes):
+        before, total = total, total + ratio - n
+        if n >= ratio:
+            continue
+        start, j = i, len(out) - 1
+        while True:
+            while j >= 0 and out[j][2] >= before:
+                j = out[j][4]
+            if j < 0 or out[j][3] >= total:
+                break
+            start, _, before, _, link = out[j]
+            del out[j:]
+            j = link
+        out.append((start, i + 1, before, total, j))
+    return [(a, b) for a, b, *_ in out]
+
+
+def _within(run: str, enc, ratio: float) -> list[tuple[int, int]]:
+    """Random parts and stretches of a run that passes as a whole, merged."""
+    low = lambda a, b: b - a >= LEAST and not known(run[a:b]) and b - a < ratio * len(enc.encode_ordinary(run[a:b]))
+    parts = [(m.start(), m.end()) for m in _PART.finditer(run)]
+    found = [p for p in parts if low(*p)]
+    begin = 0
+    for end, after in [*(m.span() for m in _UNIT.finditer(run)), (len(run), len(run))]:
+        sizes = [len(enc.decode_single_token_bytes(t)) for t in enc.encode_ordinary(run[begin:end])]
+        places = [begin, *(begin + n for n in accumulate(sizes))]
+        for i, j in _stretches(sizes, ratio):
+            a, b = places[i], places[j]
+            bare = run[a:b].strip(_JOINTS)
+            if len(bare) >= LEAST:
+                a = run.index(bare, a)
+                b = a + len(bare)
+            if not low(a, b):
+                continue
+            # Whole parts, as far as the ratio allows: the ends of a secret may be long tokens.
+            first, last = next(p[0] for p in parts if p[1] > a), next(p[1] for p in reversed(parts) if p[0] < b)
+            a = first if first >= begin and low(first, b) else a
+            found.append((a, last if last <= end and low(a, last) else b))
+        begin = after
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def random_spans(text: str, enc, ratio: float = RATIO) -> list[tuple[int, str, int]]:
-    """Runs with fewer characters per token than the ratio."""
-    return [(m.start(), "random", m.end()) for m in RUN.finditer(text) if not known(m[0]) and len(m[0]) < ratio * len(enc.encode_ordinary(m[0]))]
+    """Runs with fewer characters per token than the ratio; of other runs, the
+    parts and stretches of which that holds."""
+    out = []
+    for m in RUN.finditer(text):
+        if known(m[0]):
+            continue
+        if len(m[0]) < ratio * len(enc.encode_ordinary(m[0])):
+            out.append((m.start(), "random", m.end()))
+        else:
+            out += [(m.start() + a, "random", m.start() + b) for a, b in _within(m[0], enc, ratio)]
+    return out
 
 
 def _joined(spans: list[tuple[int, str, int]]) -> str:

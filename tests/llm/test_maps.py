@@ -127,6 +127,44 @@ def test_random_letters_without_a_digit(signs):
         assert secret_scan.find(clean, enc)[1] == [], clean
 
 
+@pytest.mark.parametrize("before", ["/company/projects/documentation/download/", "/teams/engineering/platform/documentation/archive/download/", "access_credentials_for_production_database=", "accessdatabaseproduction"])
+@pytest.mark.parametrize("more", ["", "+/", "-_"])
+def test_random_strings_behind_readable_text(before, more):
+    enc = secret_scan.encoding(*tokenizer("byte_bpe_50k.tiktoken"))
+    rng = random.Random(6)
+    for n in (24, 32, 44):
+        secrets = ["".join(rng.choice(string.ascii_letters + string.digits + more) for _ in range(n)) for _ in range(100)]
+        texts = [f"see {before}{s} end" for s in secrets]
+        masked = [secret_scan.mask(t, secret_scan.find(t, enc)[1]) for t in texts]
+        assert sum("[SECRET]" in t and s[2:-2] not in t and s[3:7] not in t and s[-7:-3] not in t for t, s in zip(masked, secrets, strict=True)) >= 98, n
+    at = before if before[-1] in "/=" else f"{before}/"
+    for clean in (f"{at}internationalisation", f"{at}release-2024-01-01T00-00-00/", f"{at}550e8400-e29b-41d4-a716-446655440000/internationalisation_of_documents/engineering"):
+        assert secret_scan.find(clean, enc)[1] == [], clean
+    two = f"{before}x9Kq2LmZ8vTr4WpB7nYc3Hd6/documentation/internationalisation/application/environment/Qw8Rt5Yp1Lk7Jh4Gf2Ds9Az6"
+    got = secret_scan.find(two, enc)[1]
+    assert len(got) in (1, 2) and "x9Kq" not in secret_scan.mask(two, got) and "Az6" not in secret_scan.mask(two, got)
+
+
+def test_separators_and_long_paths():
+    enc = secret_scan.encoding(*tokenizer("byte_bpe_50k.tiktoken"))
+    for clean in ("_-" * 12, "=/" * 12, "-" * 40, "/company/teams/platform" * 40 + "/x/"):
+        assert secret_scan.find(clean, enc)[1] == [], clean
+
+
+def test_stretches_against_all_pairs():
+    rng = random.Random(8)
+    for _ in range(100):
+        sizes = [rng.choice([1, 1, 2, 2, 3, 5, 9]) for _ in range(rng.randrange(1, 14))]
+        gain = [2.2 - n for n in sizes]
+
+        def best(a, b):  # the highest sum first, then both sides of it
+            found = max(((sum(gain[i:j]), i - j, -i, i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0,))
+            return [] if found[0] <= 1e-9 else [*best(a, found[3]), found[3:], *best(found[4], b)]
+
+        sums = lambda spans: [round(sum(gain[a:b]), 6) for a, b in spans]
+        assert sums(secret_scan._stretches(sizes, 2.2)) == sums(best(0, len(sizes)))
+
+
 def test_redact_keeps_rows_and_columns(spark):
     docs = cases.documents(spark)
     out = secret_scan.redact(docs, *tokenizer("byte_bpe_50k.tiktoken"))
