@@ -3,8 +3,8 @@
 The standard library's parser streams events; they are gathered into lines, one
 for each block of text, with the tags and link text in it. What stands in
 navigation, headers, footers, forms, adverts and the like is left out by
-element, role or name. Over the other lines the text-to-tag ratio is smoothed
-with a Gaussian, and a threshold that clusters the values into two classes tells
+element, role or name. Over the other lines the text-to-tag ratio, capped at the
+length of a line of prose, is smoothed with a Gaussian, and a threshold that clusters the values into two classes tells
 content regions. Within a content region everything is kept, short lines too.
 
 Text is decoded, white space within a block is one space, blocks are joined by a
@@ -45,6 +45,8 @@ _CONTENT_NAME = frozenset("article post entry content body text story main".spli
 _CLOSED_BY_BLOCK = frozenset(["p"])
 _SCOPE = frozenset(["article", "main"])
 _SIGMA = 1.0
+#: A line of prose; ratios above it count as it, however long a paragraph is.
+_PROSE = 80
 _KERNEL = [math.exp(-(d * d) / (2 * _SIGMA * _SIGMA)) for d in range(-3, 4)]
 
 
@@ -214,7 +216,7 @@ def content(lines: list[Line]) -> list[Line]:
     lines = [line for i, line in enumerate(lines) if i not in gone]
     if not lines:
         return []
-    ratios = [(len(x.text) - x.link_chars) / x.tags for x in lines]
+    ratios = [min((len(x.text) - x.link_chars) / x.tags, _PROSE) for x in lines]
     smooth = smoothed(ratios)
     border = threshold(smooth)
     good = [s >= border and 2 * x.link_chars <= len(x.text) for s, x in zip(smooth, lines, strict=True)]

@@ -219,5 +219,14 @@ def test_html(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(1, "u", want, len(want)), (2, None, "", 0), (3, "u", "", 0), (3, "u", "", 0), (None, "u", "a\nb <c>", 7)], key=str)
 
 
+@pytest.mark.parametrize("sizes", [[150] * 10 + [3000] + [150] * 10, [300] * 8 + [4000] + [300] * 8 + [4000] + [300] * 8, [90] * 20 + [50_000], [9000] + [120] * 30])
+def test_html_skewed_pages_without_article(sizes):
+    lines = [(f"p{i} " + "some words of text " * n)[:n].strip() for i, n in enumerate(sizes)]
+    menu = "".join(f"<div><a href={i}>Menu {i}</a></div>" for i in range(8))
+    for before, after in (("", ""), (menu, menu)):
+        page = f"<html><body>{before}<div>{''.join(f'<p>{x}</p>' for x in lines)}</div>{after}</body></html>"
+        assert html_extract.main_text(page).split("\n") == lines
+
+
 def test_html_deep_nesting():
     assert html_extract.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
