@@ -42,6 +42,8 @@ _SKIP_NAME = frozenset(
     "recommended related reply replies respond search share sharing sidebar sidebars signin signup skip social sponsor sponsored sponsors subscribe subscription taboola tagcloud teaser toolbar topbar tracking widget widgets".split()
 )
 _CONTENT_NAME = frozenset("article post entry content body text story main".split())
+_READER_NAME = frozenset("comment comments commentlist disqus reply replies respond".split())
+_HEADER_NAME = frozenset(["header"])
 _CLOSED_BY_BLOCK = frozenset(["p"])
 _SCOPE = frozenset(["article", "main"])
 _SIGMA = 1.0
@@ -50,27 +52,47 @@ _PROSE = 80
 _KERNEL = [math.exp(-(d * d) / (2 * _SIGMA * _SIGMA)) for d in range(-3, 4)]
 
 
-def _names(attrs: dict[str, str | None]) -> set[str]:
+_STATE_FIRST = frozenset("no not non without with has have".split())
+_STATE_LAST = frozenset("enabled disabled on off open closed active allowed".split())
+
+
+def _names(attrs: dict[str, str | None]) -> list[list[str]]:
+    """The words of each class and of the id, in lower case."""
     raw = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-    raw = re.sub(r"([a-z])([A-Z])", r"\1 \2", raw)
-    return set(re.split(r"[^a-z]+", raw.lower()))
+    raw = re.sub(r"([a-z])([A-Z])", r"\1-\2", raw).lower()
+    return [words for token in raw.split() if (words := [w for w in re.split(r"[^a-z]+", token) if w])]
+
+
+def _is_named(words: list[str], names: frozenset[str]) -> bool:
+    """A name as the whole, the beginning or the end; `no-sidebar` and
+    `share-enabled` tell the state of something else."""
+    if len(words) > 1 and (words[0] in _STATE_FIRST or words[-1] in _STATE_LAST):
+        return False
+    return words[0] in names or words[-1] in names or "-".join(words) in names
+
 
+def _is_content(words: list[str]) -> bool:
+    return words[-1] in _CONTENT_NAME and words[0] not in _SKIP_NAME and words[0] not in _STATE_FIRST
 
-def _skipped(tag: str, attrs: dict[str, str | None], in_scope: bool) -> bool:
+
+def _barred(tag: str, attrs: dict[str, str | None]) -> bool:
+    """Skipped by element, role or style, whatever its name."""
     if tag in _SKIP or (attrs.get("role") or "").lower() in _SKIP_ROLE:
         return True
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style") or "", re.I):
-        return True
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attrs.get("style") or "", re.I))
+
+
+def _skipped_by_name(tag: str, attrs: dict[str, str | None], in_scope: bool) -> bool:
     if tag == "header":
         return not in_scope
-    if tag in ("html", "body", "main", "b", "i", "em", "strong", "a", "span", "p") and not ("class" in attrs or "id" in attrs):
+    if tag in ("html", "body", "main") or not ("class" in attrs or "id" in attrs):
         return False
     names = _names(attrs)
-    if tag in ("html", "body", "main"):
+    if any(map(_is_content, names)):
         return False
-    if names & _SKIP_NAME:
+    if any(_is_named(words, _SKIP_NAME) for words in names):
         return True
-    return "header" in names and not names & _CONTENT_NAME and not in_scope
+    return not in_scope and any(_is_named(words, _HEADER_NAME) for words in names)
 
 
 @dataclass
@@ -91,13 +113,17 @@ class _Element:
     skipped: bool
     named: bool  # skipped by name only
     scope: int | None
+    number: int
+    prose: int  # of the page before it, where it is skipped by its class or id
 
 
 @dataclass
 class Lines(HTMLParser):
-    """Parser events gathered into lines."""
+    """Parser events gathered into lines. Elements with a number in `spared` are
+    not skipped for their names."""
 
     lines: list[Line] = field(default_factory=list)
+    spared: frozenset[int] = frozenset()
 
     def __post_init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -105,6 +131,9 @@ class Lines(HTMLParser):
         self.skipping = self.links = self.scopes = 0
         self.parts: list[str] = []
         self.tags = self.link_chars = 0
+        self.number = self.barred = self.paragraphs = self.prose = 0
+        self.held: dict[int, int] = {}  # paragraph text in elements skipped by class or id
+        self.readers: set[int] = set()  # those named as readers' comments
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -118,6 +147,11 @@ class Lines(HTMLParser):
         e = self.stack.pop()
         self.skipping -= e.skipped
         self.links -= e.tag == "a"
+        self.paragraphs -= e.tag == "p"
+        if e.skipped and e.prose >= 0:
+            self.held[e.number] = self.prose - e.prose
+        elif e.skipped:
+            self.barred -= 1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _BLOCK:
@@ -128,6 +162,7 @@ class Lines(HTMLParser):
         elif tag == "br":
             self.parts.append(" ")
         self.tags += not self.skipping
+        self.number += 1
         if tag in _VOID:
             return
         if tag in _SCOPE and self.skipping and not self.scopes and not any(e.skipped and not e.named for e in self.stack):
@@ -135,13 +170,18 @@ class Lines(HTMLParser):
                 self._pop()
         values = dict(attrs)
         in_scope = any(e.scope is not None for e in self.stack)
-        skipped = _skipped(tag, values, in_scope)
+        barred = _barred(tag, values)
+        skipped = barred or (_skipped_by_name(tag, values, in_scope) and self.number not in self.spared)
         scope = None
         if tag in _SCOPE and not skipped and not self.skipping:
             self.scopes += 1
             scope = self.scopes if not in_scope else next(e.scope for e in self.stack if e.scope is not None)
-        self.stack.append(_Element(tag, skipped, skipped and tag not in _SKIP, scope))
+        self.stack.append(_Element(tag, skipped, skipped and tag not in _SKIP, scope, self.number, -1 if barred else self.prose))
         self.skipping += skipped
+        self.barred += barred
+        if skipped and not barred and any(_is_named(words, _READER_NAME) for words in _names(values)):
+            self.readers.add(self.number)
+        self.paragraphs += tag == "p"
         self.links += tag == "a"
 
     def handle_endtag(self, tag: str) -> None:
@@ -154,6 +194,8 @@ class Lines(HTMLParser):
             self._pop()
 
     def handle_data(self, data: str) -> None:
+        if self.paragraphs and not self.barred and not self.links:
+            self.prose += len(data)
         if not self.skipping:
             self.parts.append(data)
             if self.links:
@@ -163,8 +205,15 @@ class Lines(HTMLParser):
         self.close()
         if not self.skipping:
             self._flush()
+        while self.stack:
+            self._pop()
         return self.lines
 
+    def wrappers(self) -> frozenset[int]:
+        """Elements skipped by class or id that hold most of the paragraph text;
+        comments of readers are often more than the article, so all of it there."""
+        return frozenset(n for n, held in self.held.items() if held and (held == self.prose if n in self.readers else 2 * held > self.prose))
+
 
 def smoothed(ratios: list[float]) -> list[float]:
     """Gaussian smoothing; the kernel is cut and rescaled at the ends."""
@@ -250,9 +299,15 @@ _CUT_TAG = re.compile(r"<[/!a-zA-Z][^<>]*\Z")
 def main_text(html: str | None) -> str:
     if not html:
         return ""
+    html = _CUT_TAG.sub("", html)
     parser = Lines()
-    parser.feed(_CUT_TAG.sub("", html))
-    return "\n".join(line.text for line in content(parser.end()))
+    parser.feed(html)
+    lines = parser.end()
+    if spared := parser.wrappers():
+        parser = Lines(spared=spared)
+        parser.feed(html)
+        lines = parser.end()
+    return "\n".join(line.text for line in content(lines))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -228,5 +228,21 @@ def test_html_skewed_pages_without_article(sizes):
         assert html_extract.main_text(page).split("\n") == lines
 
 
+@pytest.mark.parametrize("name", ["layout no-sidebar", "page with-sidebar", "post-content share-enabled", "entry has-comments", "sidebar", "widget text-block", "layout sidebarLayout"])
+@pytest.mark.parametrize("scope", ["article", "div"])
+def test_html_wrappers_with_listed_words(name, scope):
+    paragraphs = [f"Paragraph {i} is long enough to be an ordinary one, with several words in it." for i in range(6)]
+    inner = "".join(f"<p>{x}</p>" for x in paragraphs)
+    noise = "".join(f"<div class='{c}'><p>Do not keep this text.</p></div>" for c in ("sidebar-left", "post-meta", "comments", "share-buttons", "site-footer", "ad"))
+    for page in (f"<body><div class='{name}'><{scope}>{inner}{noise}</{scope}></div></body>", f"<body><{scope}><div class='{name}'>{inner}{noise}</div></{scope}></body>"):
+        assert html_extract.main_text(page).split("\n") == paragraphs
+
+
+def test_html_comments_longer_than_the_article():
+    said = "".join(f"<p>Reader {i} has a lot to say about this page and says it at length.</p>" for i in range(9))
+    page = f"<body><div><p>A short article in one paragraph of ordinary text.</p></div><section id='comments'>{said}</section></body>"
+    assert html_extract.main_text(page) == "A short article in one paragraph of ordinary text."
+
+
 def test_html_deep_nesting():
     assert html_extract.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
