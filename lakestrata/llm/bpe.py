@@ -6,9 +6,10 @@ merge u v -> w, in order, adds a gadget: all arcs labelled u are led to a copy
 of their target that lacks the arc v, and every state with an arc u gets an
 arc w to where v led. All arcs with one label share their target at any time,
 so there is one live state per token and one new state per merge; a state is
-stored as the copy of another state, minus one arc, since one merge. Whether
-a state has an arc follows from these links and is kept in a transition table
-once looked up.
+stored as the copy of another state, minus one arc, since one merge. The full
+transition table has a field for every pair of tokens (2.5 thousand million for
+50,000), so its fields are filled from these links when first needed, as in a
+lazy deterministic automaton, and a bounded number of them is kept.
 
 Encoding a word runs this deterministic automaton along the word: arcs are
 tried longest first from the current state, and a dead end is left behind for
@@ -37,7 +38,11 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
-MEMO_LIMIT = 400_000
+#: Entries of the largest memo, in each of two generations; with those beside it
+#: at most about 50 MB, and only while a task runs.
+MEMO_LIMIT = 100_000
+#: Transitions kept, about 20 MB.
+ARCS_KEPT = 200_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -55,11 +60,15 @@ class Automaton:
         n = len(spelling)
         self.spelling = spelling
         self.label_of = {s: i for i, s in enumerate(spelling) if s}
-        self.longest = max(map(len, spelling))
+        self.sizes = [len(s) for s in spelling]
+        self.reach: dict[bytes, int] = {}  # first three bytes -> the length of the longest token that begins so
+        for s in spelling:
+            if len(s) > self.reach.get(s[:3], 2):
+                self.reach[s[:3]] = len(s)
         self.born = [-1] * n  # the merge that made a token; -1 for bytes
         self.parts = [(i, i) for i in range(n)]
         self.removed_at: dict[int, int] = {}  # (state's token, arc) -> the merge that took the arc away
-        self.arcs: dict[int, bool] = {}
+        self.arcs: dict[int, bool] = {}  # the transition table, filled on demand
         for k, (u, v, w) in enumerate(merges):
             if self._has_arc(u, v, k):
                 self.removed_at[u << 32 | v] = k
@@ -90,50 +99,52 @@ class Automaton:
             else:
                 arc, now = self.parts[arc][0], b + 1
 
-    def arc(self, state: int, arc: int) -> bool:
-        """The transition table of the finished automaton, filled on demand."""
-        key = state << 32 | arc
-        found = self.arcs.get(key)
-        if found is None:
-            if len(self.arcs) >= 4 * MEMO_LIMIT:
-                self.arcs.clear()
-            found = self.arcs[key] = self._has_arc(state, arc, 1 << 31)
+    def _look_up(self, state: int, arc: int) -> bool:
+        """Fills one field of the finished automaton's transition table."""
+        if len(self.arcs) >= ARCS_KEPT:
+            self.arcs.clear()
+        found = self.arcs[state << 32 | arc] = self._has_arc(state, arc, 1 << 31)
         return found
 
-    def _longest_arc(self, word: bytes, at: int) -> int:
-        get = self.label_of.get
-        for end in range(min(len(word), at + self.longest), at, -1):
-            t = get(word[at:end])
-            if t is not None:
-                return t
-        raise ValueError(f"no token spells byte {word[at]}")
-
     def walk(self, word: bytes) -> list[int]:
         """The labels along the accepted path that spells the word."""
-        whole = self.label_of.get(word)
+        label = self.label_of.get
+        whole = label(word)
         if whole is not None and self._made_of_itself(whole):
             return [whole]
+        sizes, arcs, shorter, reach = self.sizes, self.arcs, self.shorter, self.reach
         path: list[int] = []
-        dead = bytearray(len(word) + 1)
-        at, spelling, arc, shorter = 0, self.spelling, self.arc, self.shorter
-        token = self._longest_arc(word, 0)
+        dead: set[int] = set()
+        at, last, token, n = 0, -1, None, len(word)
         while True:
+            if token is None:  # the longest token from here
+                end = min(at + reach.get(word[at : at + 3], 2), n)
+                token = label(word[at:end])
+                while token is None:
+                    end -= 1
+                    if end == at:
+                        raise ValueError(f"no token spells byte {word[at]}")
+                    token = label(word[at:end])
             while token >= 0:
-                end = at + len(spelling[token])
-                if not dead[end] and (not path or arc(path[-1], token)):
-                    break
+                end = at + sizes[token]
+                if end not in dead:
+                    if last < 0:
+                        break
+                    good = arcs.get(last << 32 | token)
+                    if good or good is None and self._look_up(last, token):
+                        break
                 token = shorter[token]
             if token < 0:  # nothing leads on from here
-                dead[at] = 1
+                dead.add(at)
                 token = path.pop()
-                at -= len(spelling[token])
+                last = path[-1] if path else -1
+                at -= sizes[token]
                 token = shorter[token]
                 continue
             path.append(token)
-            at = end
-            if at == len(word):
+            if end == n:
                 return path
-            token = self._longest_arc(word, at)
+            at, last, token = end, token, None
 
     def _made_of_itself(self, token: int) -> bool:
         """Every token that the merges can reach is its own encoding; a token
@@ -174,6 +185,10 @@ class Codec:
         parts = self._special.split(text)
         return b"".join(np.array([self.specials[p]], "<u4").tobytes() if p in self.specials else encode_chunks(p, self._chunks) for p in parts if p)
 
+    def forget(self) -> None:
+        """Gives the memory of all memos back; called at the end of a task."""
+        self._chunks.forget()
+
     def decode(self, ids: bytes) -> str:
         """The labels of the arcs, bytes that are no UTF-8 replaced."""
         return b"".join(map(self.emit.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -205,7 +220,10 @@ class Chunks:
 
     def __init__(self, pieces, word):
         self.pieces, self.word = pieces, word
-        self.piece = Memo(word, MEMO_LIMIT // 4)
+        self.forget()
+
+    def forget(self) -> None:
+        self.piece = Memo(self.word, MEMO_LIMIT // 4)
         self.bare = Memo(lambda chunk: self._make("", chunk), MEMO_LIMIT // 4)
         self.spaced = Memo(lambda chunk: self._make(" ", chunk))
 
@@ -262,7 +280,7 @@ def encode(df: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id",
         ids = [c.encode(t or "") for t in texts]
         return {"n_tokens": [len(x) // 4 for x in ids], "ids": ids}
 
-    return T.map_texts(df, id_col, text_col, id_col, "n_tokens long, ids binary", run, keep_text)
+    return T.map_texts(df, id_col, text_col, id_col, "n_tokens long, ids binary", run, keep_text, lambda: codec(tokenizer, pattern).forget())
 
 
 def decode(df: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -297,4 +315,4 @@ def digests(df: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id",
             out["decoded_sha256"].append(hashlib.sha256(c.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
         return out
 
-    return T.map_texts(df, id_col, text_col, id_col, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else ""), run)
+    return T.map_texts(df, id_col, text_col, id_col, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else ""), run, done=lambda: codec(tokenizer, pattern).forget())

@@ -64,12 +64,13 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def map_texts(df: DataFrame, id_col: str, text_col: str, out_id: str, columns: str, fn: Callable[[list[str | None]], dict], keep_text: str | None = None) -> DataFrame:
+def map_texts(df: DataFrame, id_col: str, text_col: str, out_id: str, columns: str, fn: Callable[[list[str | None]], dict], keep_text: str | None = None, done: Callable[[], None] | None = None) -> DataFrame:
     """One output row for each input row, without a shuffle.
 
     fn gets a list of texts (None for null) and returns a list or array for
     each of `columns` (a DDL string). keep_text names a column that carries
-    the text through.
+    the text through; done is called at the end of every task, whose worker
+    goes on to others.
     """
     id_type = df.schema[id_col].dataType.simpleString()
     schema = f"`{out_id}` {id_type}" + (f", `{keep_text}` string" if keep_text else "") + f", {columns}"
@@ -77,18 +78,22 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, out_id: str, columns: s
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, texts in _pieces(batch):
-                made = fn(texts)
-                arrays = []
-                for field in out:
-                    if field.name == out_id:
-                        arrays.append(ids.cast(field.type))
-                    elif keep_text and field.name == keep_text:
-                        arrays.append(pa.array(texts, field.type))
-                    else:
-                        arrays.append(pa.array(made[field.name], field.type))
-                yield pa.RecordBatch.from_arrays(arrays, schema=out)
+        try:
+            for batch in batches:
+                for ids, texts in _pieces(batch):
+                    made = fn(texts)
+                    arrays = []
+                    for field in out:
+                        if field.name == out_id:
+                            arrays.append(ids.cast(field.type))
+                        elif keep_text and field.name == keep_text:
+                            arrays.append(pa.array(texts, field.type))
+                        else:
+                            arrays.append(pa.array(made[field.name], field.type))
+                    yield pa.RecordBatch.from_arrays(arrays, schema=out)
+        finally:
+            if done:
+                done()
 
     return two_columns(df, id_col, text_col).mapInArrow(run, schema)
 

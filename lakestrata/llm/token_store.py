@@ -11,10 +11,12 @@ offsets, document ids, document starts (in tokens, one more than documents),
 then for each level its chunks, its bitmap and its rank directory, and last a
 CRC-32 of all that stands before it.
 
-Documents are stored in ascending id order, ties by text. A task writes its
-sorted rows to files of bounded size; a file gets its final name in one rename
-and has the same bytes if a lost task runs again. A written manifest lists the
-files, from which the global token position of each follows.
+Documents are stored in ascending id order, ties by hash and text. A task writes its
+sorted rows to files of bounded size, under names of that attempt's own, so that
+a task that runs again never meets files of a lost one and nothing is renamed.
+The manifest, committed with the tasks that succeed, lists the files that count;
+the global token position of each follows from it. A document id with more rows
+than a partition should hold is cut into ranges of the text's hash.
 
 Defined results: a null or empty text has only the end id; null ids come first;
 repeated rows are stored each by itself; only id and text are read, so clashing
@@ -168,6 +170,10 @@ class LibraryEncoder:
             spelled = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._letters)
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
+    def forget(self) -> None:
+        """Gives the memory of all memos back; called at the end of a task."""
+        self._chunks.forget()
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if any(s in text for s in self.specials):
@@ -215,28 +221,30 @@ def write_store(df: DataFrame, tokenizer: str, pattern: str, end_id: int, id_col
         def flush() -> pa.RecordBatch:
             counts = np.array([len(x) // 4 for _, x in held], np.int64)
             data = pack([d for d, _ in held], counts, np.frombuffer(b"".join(x for _, x in held), "<u4"))
-            name = f"{part:06d}-{segment:06d}.dac"
+            name = f"{part:06d}-{segment:06d}-{task.taskAttemptId()}.dac"
             fs, folder = fs_dir
-            temporary = f"{folder}/.{name}.{task.taskAttemptId()}"
-            with fs.open_output_stream(temporary) as f:
+            with fs.open_output_stream(f"{folder}/{name}") as f:
                 f.write(data)
-            fs.move(temporary, f"{folder}/{name}")
             row = (part, segment, f"{files}/{name}", len(held), int(counts.sum()), len(data))
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, out, strict=True)], schema=out)
 
-        for batch in batches:
-            for ids, texts in T._pieces(batch):
-                for d, t in zip(ids.to_pylist(), texts, strict=True):
-                    held.append((d, enc.encode(t or "") + end))
-                    size += len(held[-1][1]) // 4
-                    if size >= FILE_TOKENS:
-                        yield flush()
-                        held, size, segment = [], 0, segment + 1
-        if held:
-            yield flush()
+        try:
+            for batch in batches:
+                for ids, texts in T._pieces(batch):
+                    for d, t in zip(ids.to_pylist(), texts, strict=True):
+                        held.append((d, enc.encode(t or "") + end))
+                        size += len(held[-1][1]) // 4
+                        if size >= FILE_TOKENS:
+                            yield flush()
+                            held, size, segment = [], 0, segment + 1
+            if held:
+                yield flush()
+        finally:
+            enc.forget()
 
     docs = T.two_columns(df, id_col, text_col)
-    docs = docs.withColumn("_id", F.col("_id").cast("long")).repartitionByRange(partitions_for(docs), "_id").sortWithinPartitions("_id", "_text")
+    docs = docs.withColumn("_id", F.col("_id").cast("long")).withColumn("_tie", F.xxhash64("_text"))
+    docs = docs.repartitionByRange(partitions_for(docs), "_id", "_tie").sortWithinPartitions("_id", "_tie", "_text").drop("_tie")
     docs.mapInArrow(run, ddl).write.parquet(f"{path}/manifest")
     return path
 
