@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import BASE, RULES, V1
+from .quality import BASE, RULES, V2
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLDED = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
@@ -48,10 +48,10 @@ cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(rang
 lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 m AS (SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) for x in w]), 0) AS BIGINT) AS word_chars,
         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(lines.dup, 0) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines,
-        len([x for x in w if regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]')]) AS n_alpha_words, coalesce(list_max([strlen(x) for x in w]), 0) AS max_word_chars,
+        len([x for x in w if regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]')]) AS n_alpha_words, coalesce(list_max([length(x) for x in w]), 0) AS max_word_chars, len([x for x in w if NOT regexp_matches(x, '[^\x00-\x7F]')]) AS n_ascii_words, coalesce(list_sum([length(x) for x in w if NOT regexp_matches(x, '[^\x00-\x7F]')]), 0) AS ascii_chars,
         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_shouted, len([i for i in range(2, len(w) + 1) if w[i] = w[i - 1]]) AS n_stuttered
       FROM t LEFT JOIN cover ON t.doc_id = cover.doc_id LEFT JOIN lines ON t.doc_id = lines.doc_id)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({_any(BASE)}) AS base_failed, NOT ({_any(V1)}) AS kept, CAST({_mask} AS BIGINT) AS fail_mask FROM m
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({_any(BASE)}) AS base_failed, NOT ({_any(V2)}) AS kept, CAST({_mask} AS BIGINT) AS fail_mask FROM m
 """
 
 op10 = rf"""

@@ -3,7 +3,8 @@
 `rule_ledger` measures each text once and stores, for each document, the
 measurements and one bit for every rule that it fails. Policies are versioned
 sets of rules, applied to the ledger with bitwise AND and no second look at
-the texts; `ablations` tells what each rule of a policy does by itself.
+the texts; `ablations` tells what each rule of a policy does by itself, by
+bitwise aggregation over the masks. Word sizes are in code points.
 
 Defined results: a null or empty text has no words and zero measurements; any
 column besides id and text is ignored, whatever its name; repeated rows are
@@ -27,7 +28,7 @@ _SYMBOLS[list(b"#*$%&|<>")] = True
 
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "n_lines long, n_alpha_words long, max_word_chars long, n_shouted long, n_stuttered long"
+    "n_lines long, n_alpha_words long, max_word_chars long, n_shouted long, n_stuttered long, n_ascii_words long, ascii_chars long"
 )
 
 
@@ -39,23 +40,30 @@ def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
     out = {"n_words": np.diff(first)}
 
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    per_doc = {k: np.zeros(count, np.int64) for k in ("word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_alpha_words", "max_word_chars", "n_shouted")}
+    per_doc = {k: np.zeros(count, np.int64) for k in ("word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_alpha_words", "max_word_chars", "n_shouted", "n_ascii_words", "ascii_chars")}
     for i, x in enumerate(raw):
         if not x:
             continue
         b = np.frombuffer(x.translate(T.PLAIN), dtype=np.uint8)
-        per_doc["word_chars"][i] = int(np.count_nonzero((b != 0x20) & ((b & 0xC0) != 0x80)))
+        begins = (b & 0xC0) != 0x80  # first bytes of code points
         per_doc["n_symbols"][i] = int(np.count_nonzero(_SYMBOLS[b]))
-        words = x.split()  # bytes.split() takes \x20 and \x09-\x0D, the separators of T.PLAIN
         lines = [line for line in x.split(b"\n") if line and not line.isspace()]
         per_doc["n_lines"][i] = len(lines)
         per_doc["n_dup_lines"][i] = len(lines) - len(set(lines))
-        letters = (b >= 0x80) | ((b | 0x20) >= 0x61) & ((b | 0x20) <= 0x7A)
-        per_doc["max_word_chars"][i] = max(map(len, words), default=0)
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], (b != 0x20).view(np.int8), [0]))) == 1)
-        if len(edge):
-            per_doc["n_alpha_words"][i] = int(np.count_nonzero(np.maximum.reduceat(letters, edge)))
         per_doc["n_shouted"][i] = int(np.count_nonzero((b >= 0x41) & (b <= 0x5A)))
+        letters = (b >= 0x80) | ((b | 0x20) >= 0x61) & ((b | 0x20) <= 0x7A)
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], (b != 0x20).view(np.int8), [0]))))
+        if not len(edges):
+            continue
+        start, end = edges[::2], edges[1::2]
+        before = np.concatenate(([0], np.cumsum(begins)))
+        sizes = before[end] - before[start]  # code points of each word
+        plain = ~np.logical_or.reduceat(b >= 0x80, start)
+        per_doc["word_chars"][i] = int(sizes.sum())
+        per_doc["max_word_chars"][i] = int(sizes.max())
+        per_doc["n_alpha_words"][i] = int(np.count_nonzero(np.logical_or.reduceat(letters, start)))
+        per_doc["n_ascii_words"][i] = int(np.count_nonzero(plain))
+        per_doc["ascii_chars"][i] = int(sizes[plain].sum())
     out |= per_doc
 
     again = np.flatnonzero((h[1:] == h[:-1]) & (doc_of[1:] == doc_of[:-1])) + 1
@@ -92,6 +100,12 @@ RULES = {
     "endless_word": "max_word_chars > 4096",
     "shouting": "10 * n_shouted > 5 * word_chars",
     "stuttering": "10 * n_stuttered > 3 * n_words",
+    "long_ascii_words": "ascii_chars > 20 * n_ascii_words",
+    "one_endless_word": "max_word_chars > 4096 and 2 * max_word_chars > word_chars",
+    "under_fifty_words": "n_words < 50",
+    "some_repeated_windows": "100 * n_repeat_words > 10 * n_words",
+    "some_duplicate_lines": "n_lines >= 3 and 10 * n_dup_lines > 2 * n_lines",
+    "some_symbols": "10 * n_symbols > n_words",
 }
 _BIT = {name: i for i, name in enumerate(RULES)}
 
@@ -107,9 +121,13 @@ class Policy:
 
 
 BASE = Policy("base", ("too_few_words", "repeated_windows"))
-V1 = Policy("v1", (*BASE.rule_names, "symbols_per_word", "duplicate_lines", "short_words", "long_words", "words_without_letters", "endless_word", "shouting", "stuttering"))
-STRICT = Policy("strict", tuple(RULES))
-POLICIES = {p.version: p for p in (BASE, V1, STRICT)}
+_SHAPE = ("symbols_per_word", "duplicate_lines", "short_words", "words_without_letters", "shouting", "stuttering")
+V1 = Policy("v1", (*BASE.rule_names, *_SHAPE, "long_words", "endless_word"))
+#: As v1, but fair to scripts without spaces and to long texts with one long address or data word.
+V2 = Policy("v2", (*BASE.rule_names, *_SHAPE, "long_ascii_words", "one_endless_word"))
+#: For small corpora of high quality: v2 and narrower limits.
+STRICT = Policy("strict", (*V2.rule_names, "under_fifty_words", "some_repeated_windows", "some_duplicate_lines", "some_symbols"))
+POLICIES = {p.version: p for p in (BASE, V1, V2, STRICT)}
 
 
 def with_mask(measured: DataFrame) -> DataFrame:
@@ -127,12 +145,12 @@ def fails(policy: Policy) -> Column:
     return F.col("fail_mask").bitwiseAND(F.lit(policy.mask).cast("long")) != 0
 
 
-def apply_policy(ledger: DataFrame, policy: Policy = V1) -> DataFrame:
+def apply_policy(ledger: DataFrame, policy: Policy = V2) -> DataFrame:
     """Adds kept and the policy version; reads only fail_mask."""
     return ledger.withColumn("kept", ~fails(policy)).withColumn("policy", F.lit(policy.version))
 
 
-def ablations(ledger: DataFrame, policy: Policy = V1) -> DataFrame:
+def ablations(ledger: DataFrame, policy: Policy = V2) -> DataFrame:
     """One row for each rule of the policy: how many documents fail it, how
     many fail nothing else (and so would come back without it), and how many
     the policy keeps. Distinct masks are counted first, so that at most
@@ -152,7 +170,7 @@ def ablations(ledger: DataFrame, policy: Policy = V1) -> DataFrame:
     return masks.agg(F.array(*sums).alias("r")).select(F.inline("r")).withColumn("policy", F.lit(policy.version))
 
 
-def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", policy: Policy = V1) -> DataFrame:
+def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", policy: Policy = V2) -> DataFrame:
     """The rows of df that the policy keeps, with all their columns."""
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_t"))
     return apply_policy(rule_ledger(rows, "_row", "_t"), policy).where("kept").select("_row.*")

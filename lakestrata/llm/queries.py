@@ -74,7 +74,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
-    ledger = quality.apply_policy(quality.rule_ledger(_documents(spark, sf_dir)), quality.V1)
+    ledger = quality.apply_policy(quality.rule_ledger(_documents(spark, sf_dir)), quality.V2)
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.fails(quality.BASE).alias("base_failed"), "kept", "fail_mask")
 
 
