@@ -7,9 +7,10 @@
    document is the centre; a document's best centres (most shared buckets) are
    compared first, by signature and then on the full sets.
 4. The links so far give components. Buckets that hold more than one component
-   are searched in full: all pairs across components are compared on the full
-   sets, in blocks of bounded size, so no pair that shares a bucket is lost and
-   no list of pairs is ever made.
+   are searched in full, in blocks of bounded rows and bytes: all pairs across
+   components that no earlier band's bucket compares, whose sizes and signatures
+   allow a link and that no link has joined meanwhile are compared on the full
+   sets. No list of pairs is ever made.
 5. All links together give the final components.
 
 The signature has 40 bands of 6 rows: a pair at similarity 0.8 shares no band
@@ -24,7 +25,7 @@ clashing column names do no harm; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,15 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .components import connected_components
-from .shared import written
+from .shared import scratch, written
 
 BANDS, ROWS = 40, 6
 CENTRES = 3
+#: Rows, and bytes of their sets, in a block of the exact search.
 BLOCK = 1024
-#: Estimates this far under the limit are no links: 4.5 standard deviations of
-#: a signature of BANDS * ROWS minima at similarity 0.8.
+BLOCK_BYTES = 8 << 20
+#: Estimates this far under the limit are no links: 4.6 standard deviations of
+#: a signature of BANDS * ROWS minima at similarity 0.8 (2e-6 of such pairs).
 MARGIN = 0.12
 
 _rng = np.random.Generator(np.random.PCG64(8191))
@@ -153,15 +156,14 @@ def _by_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
 
 
-def links_within(ids: np.ndarray, comps: np.ndarray, items: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
+def links_within(ids: np.ndarray, comps: np.ndarray, items: list[np.ndarray], percent: int, left: np.ndarray | None = None, seen: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Links that join different components of one block, at most one fewer
     than there are components: every pair across components is compared unless
-    a link found before has joined the two. `left` marks the rows of the first
-    of two blocks; then only pairs across the blocks count."""
+    a link found before has joined the two, or their sizes rule a link out.
+    `left` marks the rows of the first of two blocks; then only pairs across
+    the blocks count. seen(i, others) tells which others are compared with i
+    elsewhere."""
     sizes = np.array([len(x) for x in items])
-    everything = np.concatenate(items)
-    unique, code = np.unique(everything, return_inverse=True)
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     parent = {int(c): int(c) for c in comps}
 
     def root(c: int) -> int:
@@ -170,58 +172,116 @@ def links_within(ids: np.ndarray, comps: np.ndarray, items: list[np.ndarray], pe
             c = parent[c]
         return c
 
+    order = np.argsort(sizes, kind="stable")
+    ranked = sizes[order]
     names, count = np.unique(comps, return_counts=True)
     largest = names[np.argmax(count)]
-    mark, found = np.zeros(len(unique), dtype=bool), []
+    found = []
     for i in np.flatnonzero(comps != largest if left is None else left):  # the other side's pairs are the same
-        mine = code[starts[i] : starts[i] + sizes[i]]
-        mark[mine] = True
-        shared = np.add.reduceat(mark[code].astype(np.int32), starts)
-        mark[mine] = False
-        good = (100 * shared >= percent * (sizes + sizes[i] - shared)) & (comps != comps[i])
-        if left is not None:
-            good &= ~left
-        for j in np.flatnonzero(good):
+        n = sizes[i]
+        near = order[np.searchsorted(ranked, -(-percent * n // 100)) : np.searchsorted(ranked, 100 * n // percent, "right")]
+        near = near[(comps[near] != comps[i]) & (~left[near] if left is not None else near != i)]
+        if seen is not None and len(near):
+            near = near[~seen(i, near)]
+        for j in near:
             a, b = root(int(comps[i])), root(int(comps[j]))
-            if a != b:
+            if a != b and _similar(items[i], items[j], percent):
                 parent[max(a, b)] = min(a, b)
                 found.append((int(ids[i]), int(ids[j])))
     return found
 
 
-def _rest(buckets: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across the components that meet in a bucket. buckets: (key, id)."""
-    placed = written(buckets.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "placed")
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
-    mixed = sizes.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")).where("n_all > n_main")
-    rows = written(placed.join(written(mixed, "mixed"), "key"), "rows")
+def _earlier(bands: np.ndarray, sigs: np.ndarray, band: int, percent: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Which pairs of a block need no look at their sets: they meet in a bucket
+    of an earlier band as well, or their signatures are far from a link."""
+    need = percent / 100 - MARGIN
+
+    def seen(i: int, others: np.ndarray) -> np.ndarray:
+        met = (bands[others, :band] == bands[i, :band]).any(axis=1)
+        met[~met] = (sigs[others[~met]] == sigs[i]).mean(axis=1) < need
+        return met
+
+    return seen
+
+
+def _rest(buckets: DataFrame, comp: DataFrame, feature: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across the components that meet in a bucket. buckets: (band, key, id,
+    n_shingles)."""
+    sized = comp.select(F.col("node").alias("id"), "component")
+    placed = written(buckets.join(sized, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("component"), "n_shingles"), "placed")
+    members = [F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("x2")]
+    sizes = placed.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"), *members).groupBy("band", "key")
+    all_ = [F.sum("n").alias("n_all"), F.sum("w").alias("w_all"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2")]
+    mixed = sizes.agg(F.max_by(F.struct("component", "n", "w"), F.struct("n", "component")).alias("main"), *all_).where("n_all > main.n")
+    # Of buckets with the same documents the one of the earliest band is searched.
+    mixed = mixed.groupBy("x1", "x2", "n_all").agg(F.min(F.struct("band", "key", "main", "w_all")).alias("b")).select(F.col("b.key").alias("key"), "b.main", "n_all", "b.w_all")
+    rows = written(placed.drop("n_shingles").join(written(mixed, "mixed"), "key"), "rows")
     # The main component against the rest, and the rest against itself; both
-    # cut into blocks, so that no group has more than two blocks of rows.
-    is_main = F.col("component") == F.col("main")
-    a_blocks, b_blocks = (F.ceil(n / BLOCK).cast("int") for n in (F.col("n_main"), F.col("n_all") - F.col("n_main")))
+    # cut into blocks of bounded rows and bytes, so that no group has more than
+    # two blocks.
+    is_main = F.col("component") == F.col("main.component")
+    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
+    n_rest = F.col("n_all") - F.col("main.n")
+    a_blocks, b_blocks = blocks(F.col("main.n"), F.col("main.w")), blocks(n_rest, F.col("w_all") - F.col("main.w"))
     mine = F.pmod(F.xxhash64("id"), F.when(is_main, a_blocks).otherwise(b_blocks).cast("long")).cast("int")
-    dealt = rows.select("key", "id", "component", is_main.alias("is_main"), mine.alias("mine"), a_blocks.alias("na"), b_blocks.alias("nb"), (F.col("n_all") - F.col("n_main") > 1).alias("rest"))
+    dealt = rows.select("band", "key", "id", "component", is_main.alias("is_main"), mine.alias("mine"), a_blocks.alias("na"), b_blocks.alias("nb"), (n_rest > 1).alias("rest"))
     group = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
     of_main = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: group(0, F.col("mine"), x))
     to_main = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda x: group(0, x, F.col("mine")))
     among = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: group(1, F.least("mine", x), F.greatest("mine", x)))
     groups = F.when(F.col("is_main"), of_main).when(F.col("rest"), F.concat(to_main, among)).otherwise(to_main)
-    dealt = dealt.select("key", "id", "component", "is_main", "mine", F.explode(groups).alias("g")).select("key", "id", "component", "is_main", "mine", "g.*")
+    dealt = dealt.select("band", "key", "id", "component", "is_main", "mine", F.explode(groups).alias("g")).select("band", "key", "id", "component", "is_main", "mine", "g.*")
     out = T.arrow_schema("a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
         ids, comps = table.column("id").to_numpy(), table.column("component").to_numpy()
-        kind, i, j = (table.column(c)[0].as_py() for c in ("kind", "i", "j"))
-        items = [np.frombuffer(x, "<u8") for x in table.column("items").to_pylist()]
+        kind, i, j, band = (table.column(c)[0].as_py() for c in ("kind", "i", "j", "band"))
+        items = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("items")]
+        bands = table.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+        sigs = np.frombuffer(b"".join(x.as_buffer() for x in table.column("sig")), "<u2").reshape(-1, BANDS * ROWS)
         if kind == 0:
             left = ~table.column("is_main").to_numpy(zero_copy_only=False)
         else:
             left = None if i == j else table.column("mine").to_numpy() == i
-        found = links_within(ids, comps, items, percent, left) if left is None or (left.any() and not left.all()) else []
+        found = links_within(ids, comps, items, percent, left, _earlier(bands, sigs, band, percent)) if left is None or (left.any() and not left.all()) else []
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], schema=out)
 
-    return dealt.join(sets, "id").groupBy("key", "kind", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    wanted = rows.select("id").distinct()
+    held = feature.select("id", "bands", "sig").join(sets.join(wanted, "id", "left_semi"), "id").dropDuplicates(["id"])
+    return dealt.join(held, "id").groupBy("key", "kind", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def _groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """id, n_shingles, component (null for rows without a set or id) for every
+    row of docs(_id long, _text); rows with one id count as one document."""
+    with scratch(docs.sparkSession):
+        feature = written(features(docs, "_id", "_text", size), "features", keep=True)
+
+        whole = feature.where("n_shingles > 0 and id is not null")
+        classes = written(whole.groupBy("h1", "h2").agg(F.min("id").alias("id")), "classes")
+        heads = whole.select("id", "h1", "h2", "n_shingles", "bands", "sig").join(classes, ["id", "h1", "h2"], "left_semi")
+        keyed = written(heads.select("id", "n_shingles", F.posexplode("bands").alias("band", "key")), "keyed")
+        shared = written(keyed.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("key", "centre"), "shared")
+        buckets = written(keyed.join(shared, "key"), "buckets")
+
+        by_best = Window.partitionBy("a").orderBy(F.desc("n"), "b")
+        stars = buckets.where("id <> centre").groupBy(F.col("id").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        stars = stars.withColumn("place", F.row_number().over(by_best)).where(f"place <= {CENTRES}").select("a", "b")
+        pairs = written(_by_signature(written(stars, "stars"), feature, percent), "pairs")
+
+        sets = written(full_sets(docs, "_id", "_text", size, buckets.select("id").distinct()), "sets")
+        links = written(_by_sets(pairs, sets, percent), "links")
+        comp = written(connected_components(links), "components")
+        more = written(_rest(buckets, comp, heads, sets, percent), "more")
+        if more.limit(1).count():
+            comp = written(connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
+
+        named = classes.join(comp, classes.id == comp.node, "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
+        named = written(named, "named", keep=True)
+    joined = feature.select("id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component"))
+    return joined.select("id", "n_shingles", component.alias("component"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -229,37 +289,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and kept (the document is that id). Links: 100 * shared >= percent * union
     of the sets of `size`-word shingles."""
     docs = T.two_columns(df, id_col, text_col).withColumn("_id", F.col("_id").cast("long"))
-    feature = written(features(docs, "_id", "_text", size), "features")
-
-    whole = feature.where("n_shingles > 0 and id is not null")
-    classes = written(whole.groupBy("h1", "h2").agg(F.min("id").alias("id")), "classes")
-    heads = whole.select("id", "h1", "h2", "bands").join(classes, ["id", "h1", "h2"], "left_semi")
-    keyed = written(heads.select("id", F.explode("bands").alias("key")), "keyed")
-    shared = written(keyed.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("key", "centre"), "shared")
-    buckets = written(keyed.join(shared, "key"), "buckets")
-
-    by_best = Window.partitionBy("a").orderBy(F.desc("n"), "b")
-    stars = buckets.where("id <> centre").groupBy(F.col("id").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    stars = stars.withColumn("place", F.row_number().over(by_best)).where(f"place <= {CENTRES}").select("a", "b")
-    pairs = written(_by_signature(written(stars, "stars"), feature, percent), "pairs")
-
-    sets = written(full_sets(docs, "_id", "_text", size, buckets.select("id").distinct()), "sets")
-    links = written(_by_sets(pairs, sets, percent), "links")
-    comp = written(connected_components(links), "components")
-    more = written(_rest(buckets.select("key", "id"), comp, sets, percent), "more")
-    if more.limit(1).count():
-        comp = written(connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
-
-    named = classes.join(comp, classes.id == comp.node, "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
-    named = written(named, "named")
-    out = feature.select("id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    out = _groups(docs, size, percent)
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of df without those that a lesser id of their group stands for,
-    with all their columns."""
-    gone = near_duplicates(df, id_col, text_col, size, percent).where("not kept").select(F.col(id_col).alias("_id")).distinct()
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"))
-    return rows.join(gone, "_id", "left_anti").select("_row.*")
+    """One row of each group, that of the least id (null ids last), with all its
+    columns. Every row is judged by itself, whatever its id: of repeated rows
+    and of copies without an id one stays, of rows that share an id all with
+    texts of their own. Rows without words all stay.
+
+    The rows are numbered once, in a written table, so that the numbers hold
+    when a lost task runs again."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = written(df.select(row.alias("_row"), F.monotonically_increasing_id().alias("_n")), "numbered", keep=True)
+    docs = rows.select(F.col("_n").alias("_id"), F.col(f"_row.`{text_col}`").cast("string").alias("_text"))
+    groups = _groups(docs, size, percent).where("component is not null").select(F.col("id").alias("_n"), "component")
+    ids = rows.select("_n", F.col(f"_row.`{id_col}`").alias("_id"))
+    shared = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    members = groups.join(shared, "component").join(ids, "_n")
+    least = members.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_n")).alias("least")).select(F.col("least._n").alias("_n"))
+    gone = written(members.select("_n").join(least, "_n", "left_anti"), "gone", keep=True)
+    return rows.join(gone, "_n", "left_anti").select("_row.*")

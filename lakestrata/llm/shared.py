@@ -2,17 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+from pyspark.sql import DataFrame, SparkSession
+
+from ..sources import fs
 from ..sources.work import base_dir, new_dir
 
-__all__ = ["base_dir", "new_dir", "partitions_for", "written"]
+__all__ = ["base_dir", "new_dir", "partitions_for", "scratch", "written"]
+
+#: Paths of the tables made in the scopes that are open, the innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that were written inside, at the end. Those written
+    with keep=True pass to the scope around it, or stay if there is none."""
+    made: list[str] = []
+    token = _scopes.set((*_scopes.get(), made))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in made:
+            fs.delete(spark, path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The rows written to the shared folder and read again: cuts the lineage
-    at files that survive the loss of any executor."""
+    at files that survive the loss of any executor. keep=True where a lazy
+    result still reads the table after the scope's end."""
     spark, path = df.sparkSession, new_dir(df.sparkSession, name)
+    scopes = _scopes.get()
+    owner = scopes[:-1] if keep else scopes
+    if owner:
+        owner[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
