@@ -133,9 +133,11 @@ def is_contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def remove_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of df that are not contaminated, with all their columns."""
-    bad = contamination(df, benchmark, id_col, text_col, **options).where(is_contaminated()).select("k1", "k2").distinct()
+def remove_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Column | None = None, **options) -> DataFrame:
+    """The rows of df without contaminated ones, with all their columns.
+    Contaminated is a row in which any window of any item occurs, however long
+    the row is, unless `rule` (on the columns of contamination) says otherwise."""
+    bad = contamination(df, benchmark, id_col, text_col, **options).where(F.col("n_hit") > 0 if rule is None else rule).select("k1", "k2").distinct()
     text = F.col(f"`{text_col}`").cast("string")
     keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("k1"), F.xxhash64(F.lit(1), text, F.col(f"`{id_col}`")).alias("k2"))
     return keyed.join(bad, ["k1", "k2"], "left_anti").select("_row.*")

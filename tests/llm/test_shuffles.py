@@ -85,7 +85,7 @@ def test_decontamination(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     kept = decontaminate.remove_contaminated(cases.documents(spark), bench)
     assert kept.columns == cases.documents(spark).columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, n, h, _ in want if not (h and 20 * h >= n))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, n, h, _ in want if not h)
     assert decontaminate.contamination(cases.documents(spark, []), bench).count() == 0
     assert decontaminate.contamination(cases.documents(spark), bench.limit(0)).where("n_hit > 0").count() == 0
 
