@@ -14,23 +14,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakestrata.llm import bpe, decontaminate, near_dup, quality, secret_scan
 from lakestrata.llm.queries import tokenizer
-from lakestrata.llm.shared import written
+from lakestrata.llm.shared import scratch, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the policy rejects go."""
-    return quality.keep_good(docs, policy=quality.V1)
+    return quality.keep_good(docs, policy=quality.V2)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five-word shingles, 0.8)."""
+    """One document of each group of near copies stays (five-word shingles, 0.8);
+    rows are judged one by one, whatever their ids."""
     return near_dup.keep_one_of_each(docs, size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more stands in the benchmark go."""
+    """Documents in which any benchmark window occurs go, however long they are."""
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -57,9 +58,17 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`. What a stage wrote aside, and the table it
+    read, is deleted once its result is written.
+
+    Null texts and texts without words go with the quality rules, repeated rows
+    and copies without an id with near-dedup (one stays); extra columns are
+    carried through the first four stages; an empty table gives an empty result
+    with the same columns."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, f"stage{i}")
+    with scratch(spark):
+        for name, stage in STAGES[:-1]:
+            with scratch(spark):
+                docs = written(stage(spark, docs, sf_dir), name.split()[0], keep=True)
+        docs = written(STAGES[-1][1](spark, docs, sf_dir), "pipeline", keep=True)
     return docs
