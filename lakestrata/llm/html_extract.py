@@ -1,11 +1,20 @@
 """Main text of HTML pages.
 
 The standard library's parser streams events; they are gathered into lines, one
-for each block of text, with the tags and link text in it. What stands in
-navigation, headers, footers, forms, adverts and the like is left out by
-element, role or name. Over the other lines the text-to-tag ratio, capped at the
-length of a line of prose, is smoothed with a Gaussian, and a threshold that clusters the values into two classes tells
-content regions. Within a content region everything is kept, short lines too.
+for each block of text, with the tags and link text in it. What can be no article
+text by element, role or name (scripts, menus, forms, footers and the like) makes
+no lines. The other lines are judged by their text-to-tag ratio: characters that
+are no link text for each tag, at most those of a line of prose. Structure is a
+prior on it: where `article` or `main` holds a fair part of the page's prose,
+lines outside count an eighth. The ratios are smoothed with a Gaussian within
+each scope, and a threshold that clusters them into two classes tells content.
+
+* A scope is content if one of its lines is in the upper class; its plain lines
+  stay, short ones too. A run of lines that are mostly links stays only if its
+  smoothed ratios reach the threshold on average: a link between paragraphs is
+  raised by them, a list of links sinks.
+* Outside scopes the content region reaches from the first to the last line in
+  the upper class, with headings before it; runs of links as above.
 
 Text is decoded, white space within a block is one space, blocks are joined by a
 line feed in page order; nothing else is dropped or cut.
@@ -22,6 +31,7 @@ import math
 import re
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +57,8 @@ _HEADER_NAME = frozenset(["header"])
 _CLOSED_BY_BLOCK = frozenset(["p"])
 _SCOPE = frozenset(["article", "main"])
 _SIGMA = 1.0
+_OUTSIDE = 0.125  # prior of a line outside the scopes
+_FAIR = 0.25  # share of the prose that a scope must hold to be one
 #: A line of prose; ratios above it count as it, however long a paragraph is.
 _PROSE = 80
 _KERNEL = [math.exp(-(d * d) / (2 * _SIGMA * _SIGMA)) for d in range(-3, 4)]
@@ -103,8 +115,16 @@ class Line:
     tags: int
     link_chars: int
     heading: bool
-    item: bool
-    scope: int | None
+    scope: int | None  # of the article or main around it
+
+    @property
+    def linked(self) -> bool:
+        """Mostly link text."""
+        return 2 * self.link_chars > len(self.text)
+
+    @property
+    def ratio(self) -> float:
+        return min(max(len(self.text) - self.link_chars, 0) / self.tags, _PROSE)
 
 
 @dataclass
@@ -128,30 +148,42 @@ class Lines(HTMLParser):
     def __post_init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[_Element] = []
-        self.skipping = self.links = self.scopes = 0
+        self.open: dict[str, int] = {}  # tags that are open, by name
+        self.within: list[int] = []  # scopes that are open
+        self.skipping = self.hard = self.headings = self.scopes = 0
         self.parts: list[str] = []
         self.tags = self.link_chars = 0
-        self.number = self.barred = self.paragraphs = self.prose = 0
+        self.number = self.barred = self.prose = 0
         self.held: dict[int, int] = {}  # paragraph text in elements skipped by class or id
         self.readers: set[int] = set()  # those named as readers' comments
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            here = [e.tag for e in self.stack]
-            scope = next((e.scope for e in reversed(self.stack) if e.scope is not None), None)
-            self.lines.append(Line(text, max(self.tags, 1), self.link_chars, bool(_HEADING & {*here}), "li" in here, scope))
+            self.lines.append(Line(text, max(self.tags, 1), self.link_chars, self.headings > 0, self.within[-1] if self.within else None))
         self.parts, self.tags, self.link_chars = [], 0, 0
 
+    def _push(self, e: _Element) -> None:
+        self.stack.append(e)
+        self.open[e.tag] = self.open.get(e.tag, 0) + 1
+        self.headings += e.tag in _HEADING
+        self.skipping += e.skipped
+        self.hard += e.skipped and not e.named
+        self.barred += e.skipped and e.prose < 0
+        if e.scope is not None:
+            self.within.append(e.scope)
+
     def _pop(self) -> None:
         e = self.stack.pop()
+        self.open[e.tag] -= 1
+        self.headings -= e.tag in _HEADING
         self.skipping -= e.skipped
-        self.links -= e.tag == "a"
-        self.paragraphs -= e.tag == "p"
+        self.hard -= e.skipped and not e.named
+        self.barred -= e.skipped and e.prose < 0
+        if e.scope is not None:
+            self.within.pop()
         if e.skipped and e.prose >= 0:
             self.held[e.number] = self.prose - e.prose
-        elif e.skipped:
-            self.barred -= 1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _BLOCK:
@@ -165,40 +197,36 @@ class Lines(HTMLParser):
         self.number += 1
         if tag in _VOID:
             return
-        if tag in _SCOPE and self.skipping and not self.scopes and not any(e.skipped and not e.named for e in self.stack):
-            while any(e.skipped for e in self.stack):  # a named part before it that was never closed
+        if tag in _SCOPE and self.skipping and not self.scopes and not self.hard:
+            while self.skipping:  # a named part before it that was never closed
                 self._pop()
         values = dict(attrs)
-        in_scope = any(e.scope is not None for e in self.stack)
         barred = _barred(tag, values)
-        skipped = barred or (_skipped_by_name(tag, values, in_scope) and self.number not in self.spared)
+        skipped = barred or (_skipped_by_name(tag, values, bool(self.within)) and self.number not in self.spared)
         scope = None
         if tag in _SCOPE and not skipped and not self.skipping:
             self.scopes += 1
-            scope = self.scopes if not in_scope else next(e.scope for e in self.stack if e.scope is not None)
-        self.stack.append(_Element(tag, skipped, skipped and tag not in _SKIP, scope, self.number, -1 if barred else self.prose))
-        self.skipping += skipped
-        self.barred += barred
+            scope = self.within[-1] if self.within else self.scopes
         if skipped and not barred and any(_is_named(words, _READER_NAME) for words in _names(values)):
             self.readers.add(self.number)
-        self.paragraphs += tag == "p"
-        self.links += tag == "a"
+        self._push(_Element(tag, skipped, skipped and tag not in _SKIP, scope, self.number, -1 if barred else self.prose))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _BLOCK and not self.skipping:
             self._flush()
         self.tags += not self.skipping
-        if any(e.tag == tag for e in self.stack):
+        if self.open.get(tag):
             while self.stack[-1].tag != tag:
                 self._pop()
             self._pop()
 
     def handle_data(self, data: str) -> None:
-        if self.paragraphs and not self.barred and not self.links:
+        links = self.open.get("a", 0)
+        if self.open.get("p") and not self.barred and not links:
             self.prose += len(data)
         if not self.skipping:
             self.parts.append(data)
-            if self.links:
+            if links:
                 self.link_chars += len(data)
 
     def end(self) -> list[Line]:
@@ -228,12 +256,13 @@ def smoothed(ratios: list[float]) -> list[float]:
     return out
 
 
-def threshold(values: list[float]) -> float:
+def threshold(values: list[float]) -> tuple[float, bool]:
     """The border between the two clusters of the values (two means, started
-    at the ends); all values count as content when they do not differ much."""
+    at the ends), and whether there are two; values that do not differ much are
+    one cluster, all of it content."""
     low, high = min(values), max(values)
     if high < 4 * low + 1:
-        return low
+        return low, False
     for _ in range(50):
         border = (low + high) / 2
         under, over = [v for v in values if v < border], [v for v in values if v >= border]
@@ -242,45 +271,47 @@ def threshold(values: list[float]) -> float:
             break
         low, high = new
     # Content varies more than boilerplate: the border is nearer to the latter.
-    return low + (high - low) / 4
+    return low + (high - low) / 4, True
+
 
+def scores(lines: list[Line]) -> tuple[list[float], bool]:
+    """The smoothed ratio of every line, and whether scopes were taken as such."""
+    inside = sum(x.ratio for x in lines if x.scope is not None)
+    scoped = inside > 0 and inside >= _FAIR * sum(x.ratio for x in lines) or all(x.scope is not None for x in lines)
+    out: list[float] = []
+    for scope, run in groupby(lines, key=lambda x: x.scope if scoped else None):
+        out += smoothed([x.ratio * (_OUTSIDE if scoped and scope is None else 1.0) for x in run])
+    return out, scoped
 
-def _menus(lines: list[Line]) -> set[int]:
-    """Runs of three or more items that are nothing but links."""
+
+def _of_links(lines: list[Line], smooth: list[float], border: float) -> set[int]:
+    """Lines in runs that are mostly links and stay under the border on average."""
     out: set[int] = set()
-    run: list[int] = []
-    for i, line in enumerate([*lines, None]):
-        if line is not None and line.item and 10 * line.link_chars >= 8 * len(line.text):
-            run.append(i)
-            continue
-        if len(run) >= 3:
-            out.update(run)
-        run = []
+    for (linked, _), run in groupby(range(len(lines)), key=lambda i: (lines[i].linked, lines[i].scope)):
+        places = list(run)
+        if linked and sum(smooth[i] for i in places) < border * len(places):
+            out.update(places)
     return out
 
 
 def content(lines: list[Line]) -> list[Line]:
     """The lines of the content regions."""
-    gone = _menus(lines)
-    lines = [line for i, line in enumerate(lines) if i not in gone]
     if not lines:
         return []
-    ratios = [min((len(x.text) - x.link_chars) / x.tags, _PROSE) for x in lines]
-    smooth = smoothed(ratios)
-    border = threshold(smooth)
-    good = [s >= border and 2 * x.link_chars <= len(x.text) for s, x in zip(smooth, lines, strict=True)]
-    scopes = {x.scope for x, g in zip(lines, good, strict=True) if g and x.scope is not None}
-    if any(x.scope is not None for x in lines):
+    smooth, scoped = scores(lines)
+    border, two = threshold(smooth)
+    gone = _of_links(lines, smooth, border)
+    good = [s >= border and not x.linked for s, x in zip(smooth, lines, strict=True)]
+    if scoped:
+        scopes = {x.scope for x, g in zip(lines, good, strict=True) if g and x.scope is not None}
         if not scopes:  # nothing but short lines: the largest of them
             sizes: dict[int, int] = {}
             for x in lines:
                 if x.scope is not None:
                     sizes[x.scope] = sizes.get(x.scope, 0) + len(x.text)
             scopes = {max(sizes, key=sizes.__getitem__)}
-        return [x for x in lines if x.scope in scopes]
+        return [x for i, x in enumerate(lines) if (i not in gone if x.scope in scopes else x.scope is None and good[i] and two)]
     marked = [i for i, g in enumerate(good) if g]
-    if not marked:
-        return []
     while marked and _LEGAL.match(lines[marked[-1]].text):
         marked.pop()
     if not marked:
@@ -288,18 +319,31 @@ def content(lines: list[Line]) -> list[Line]:
     first, last = marked[0], marked[-1]
     while first > 0 and lines[first - 1].heading:
         first -= 1
-    return [x for i, x in enumerate(lines[first : last + 1], first) if good[i] or 2 * x.link_chars <= len(x.text)]
+    return [x for i, x in enumerate(lines[first : last + 1], first) if i not in gone]
 
 
 #: How the last line of a page without further marks may begin.
 _LEGAL = re.compile(r"(?i)(?:©|\(c\)|copyright\b|all rights reserved)")
-_CUT_TAG = re.compile(r"<[/!a-zA-Z][^<>]*\Z")
+_OPENING = re.compile(r"<[/!?a-zA-Z]")
+
+
+def _closable(html: str) -> str:
+    """The page without marks that nothing closes any more, which the parser
+    would look for again and again: the opening of a comment or of character
+    data behind the last closing mark, and a tag that the page's end cuts off."""
+    for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+        at = html.rfind(closing) + 1
+        if html.find(opening, at) >= 0:
+            html = html[:at] + html[at:].replace(opening, "")
+    at = html.rfind(">") + 1
+    cut = _OPENING.search(html, at)
+    return html[: cut.start()] if cut else html
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    html = _CUT_TAG.sub("", html)
+    html = _closable(html)
     parser = Lines()
     parser.feed(html)
     lines = parser.end()
