@@ -226,3 +226,40 @@ def test_substring(spark):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
     assert all(sum(x.end - x.start for x in r.repeats) == r.n_removed for r in got)
     assert substring.find_repeats(cases.documents(spark, [])).count() == 0
+
+
+def test_sharding_of_equal_rows_and_clashing_names(spark):
+    """Many rows equal in id and text are still cut into shards of near equal bytes."""
+    rows = [(None, "one text of them all", 1, 2, "c", 4)] * 3000 + [(i, f"text {i}", 1, 2, "c", 4) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h int, i int, cell string, before int")
+    out = shard.shard_documents(docs, shards=24)
+    assert out.columns == [*docs.columns, "size", "shard", "slot"]
+    got = out.collect()
+    assert len(got) == 3300 and {(r.h, r.i, r.cell, r.before) for r in got} == {(1, 2, "c", 4)}
+    _check_shards(got, 24, shard.TOLERANCE)
+    taken = spark.createDataFrame([(1, "a", 7, 8, 9, "r", "t")], "doc_id long, text string, size int, shard int, slot int, row string, t string")
+    [r] = shard.shard_documents(taken).collect()
+    assert tuple(r)[:5] == (1, "a", "r", "t", 9) and 0 <= r.shard < 24 and r.slot == 0
+
+
+def test_sharding_in_many_steps(spark):
+    """Cells cut into steps of the key's range: the same law, gapless slots in order."""
+    rng = np.random.default_rng(3)
+    rows = [(int(i), "hot" if i % 3 == 0 else "x" * int(rng.integers(0, 60))) for i in range(4000)] + [(5, "tie")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = shard.shard_documents(docs, shards=4, cell_bytes=200).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(rows)
+    _check_shards(got, 4, shard.TOLERANCE)
+    place = {t: n for n, t in enumerate(dict.fromkeys(r.text for r in sorted(got, key=lambda r: (r.shard, r.slot))))}
+    in_order = [place[r.text] for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert in_order == sorted(in_order)  # equal texts stand together
+
+
+def test_splitters_of_narrow_ranges(spark):
+    """Keys next to each other at the far end of the range do not stop the search."""
+    far = 2**63 - 50
+    rows = [(far + k, -(2**63) + k, k, 10) for k in range(40)] * 2
+    keys = spark.createDataFrame(rows, "h long, i long, t long, size long")
+    assert [sum(r[:3] < k for r in rows) for k in shard.find_splitters(keys, 4, 0.0).keys] == [20, 40, 60]
+    one = spark.createDataFrame([(1, 1, 1, 10)] * 8, "h long, i long, t long, size long")
+    assert shard.find_splitters(one, 4, 0.0).tied == {1}
