@@ -306,8 +306,7 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = rows.select(F.col("_n").alias("_id"), F.col(f"_row.`{text_col}`").cast("string").alias("_text"))
     groups = _groups(docs, size, percent).where("component is not null").select(F.col("id").alias("_n"), "component")
     ids = rows.select("_n", F.col(f"_row.`{id_col}`").alias("_id"))
-    shared = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
-    members = groups.join(shared, "component").join(ids, "_n")
+    members = groups.join(ids, "_n")  # by row numbers: a large group is spread
     least = members.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_n")).alias("least")).select(F.col("least._n").alias("_n"))
     gone = written(members.select("_n").join(least, "_n", "left_anti"), "gone", keep=True)
     return rows.join(gone, "_n", "left_anti").select("_row.*")
