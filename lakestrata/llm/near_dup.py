@@ -38,6 +38,7 @@ from .shared import scratch, written
 
 BANDS, ROWS = 40, 6
 CENTRES = 3
+FEW = 8  # candidates that are compared one by one
 #: Rows, and bytes of their sets, in a block of the exact search.
 BLOCK = 1024
 BLOCK_BYTES = 8 << 20
@@ -164,14 +165,10 @@ def links_within(ids: np.ndarray, comps: np.ndarray, items: list[np.ndarray], pe
     the blocks count. seen(i, others) tells which others are compared with i
     elsewhere."""
     sizes = np.array([len(x) for x in items])
-    parent = {int(c): int(c) for c in comps}
-
-    def root(c: int) -> int:
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
-
+    unique, code = np.unique(np.concatenate(items), return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    mark = np.zeros(len(unique), dtype=bool)
+    label = comps.copy()  # the component of each row, as joined so far
     order = np.argsort(sizes, kind="stable")
     ranked = sizes[order]
     names, count = np.unique(comps, return_counts=True)
@@ -180,13 +177,21 @@ def links_within(ids: np.ndarray, comps: np.ndarray, items: list[np.ndarray], pe
     for i in np.flatnonzero(comps != largest if left is None else left):  # the other side's pairs are the same
         n = sizes[i]
         near = order[np.searchsorted(ranked, -(-percent * n // 100)) : np.searchsorted(ranked, 100 * n // percent, "right")]
-        near = near[(comps[near] != comps[i]) & (~left[near] if left is not None else near != i)]
+        near = near[(label[near] != label[i]) & (~left[near] if left is not None else comps[near] != comps[i])]
         if seen is not None and len(near):
             near = near[~seen(i, near)]
-        for j in near:
-            a, b = root(int(comps[i])), root(int(comps[j]))
-            if a != b and _similar(items[i], items[j], percent):
-                parent[max(a, b)] = min(a, b)
+        if len(near) <= FEW:
+            good = [j for j in near if _similar(items[i], items[j], percent)]
+        else:  # one pass over the sets of the block
+            mine = code[starts[i] : starts[i] + n]
+            mark[mine] = True
+            shared = np.add.reduceat(mark[code].astype(np.int32), starts)[near]
+            mark[mine] = False
+            good = near[100 * shared >= percent * (sizes[near] + n - shared)]
+        for j in good:
+            a, b = label[i], label[j]
+            if a != b:
+                label[label == max(a, b)] = min(a, b)
                 found.append((int(ids[i]), int(ids[j])))
     return found
 
