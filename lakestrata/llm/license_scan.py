@@ -1,29 +1,35 @@
 """License detection by ordered signature rules.
 
-A rule is a regular expression over the normalised text (letter words, lower
-case, one space between), made from a license family and an evidence form. A
-keyword prefilter (one Aho-Corasick pass over the bytes) decides which rules
-run at all. Detections compete: a higher priority wins over a lower one it
-overlaps, and a detection whose interval lies inside a kept one goes.
+A rule is a hand-written regular expression over the normalised text (letter
+words, lower case, one space between); license_rules.py lists them in order of
+priority. A keyword prefilter decides what runs: every rule has one literal that
+all its matches hold (taken from the parsed expression), one Aho-Corasick pass
+finds all literals, and a rule looks only at the neighbourhood of its own.
+Detections compete in order of priority: one whose interval lies in that of a
+kept detection, or overlaps it, goes.
 
 Next to the rules stand the base phrases: plain word sequences with a label,
 counted wherever they occur.
 
-Defined results: null and empty texts have no words, no places, empty label
-lists and score 0; repeated rows are scanned each by itself; only id and text
-are read, so clashing column names do no harm; an empty table gives an empty
-result.
+The work is linear in the text, however often a phrase repeats. Defined results:
+null and empty texts have no words, no places, empty label lists and score 0;
+repeated rows are scanned each by itself; only id and text are read, so clashing
+column names do no harm; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
+from re import _constants as C
+from re import _parser
 
 from pyspark.sql import DataFrame
 
 from . import text as T
+from .license_rules import RULES
 
 #: Fixed values of the scan contract: phrase and label.
 BASE_PHRASES = {
@@ -33,222 +39,164 @@ BASE_PHRASES = {
     "mit license": "mit",
 }
 
-#: Families: label, then full-name expressions on normalised text. "N" stands
-#: for an optional version ("version 2 0", "v2", "2 0").
-_VERSION = r"(?: (?:version|v) ?\d+(?: \d+)?| v\d+(?: \d+)?| \d+ \d+)?"
-_OR_LATER = r"(?: or (?:any )?later(?: version)?)?"
-FAMILIES = {
-    "agpl": (r"(?:gnu )?affero general public licen[cs]e",),
-    "lgpl": (r"(?:gnu )?(?:lesser|library) general public licen[cs]e",),
-    "gpl": (r"gnu general public licen[cs]e", r"gnu gpl"),
-    "gfdl": (r"gnu free documentation licen[cs]e",),
-    "apache": (r"apache (?:software )?licen[cs]e",),
-    "mit": (r"(?:the )?mit licen[cs]e", r"x11 licen[cs]e", r"expat licen[cs]e"),
-    "bsd-2-clause": (r"(?:2 clause|two clause|simplified|freebsd) bsd(?: licen[cs]e)?", r"bsd (?:2 clause|two clause)(?: licen[cs]e)?"),
-    "bsd-3-clause": (r"(?:3 clause|three clause|new|modified|revised) bsd(?: licen[cs]e)?", r"bsd (?:3 clause|three clause)(?: licen[cs]e)?"),
-    "bsd-4-clause": (r"(?:4 clause|four clause|original) bsd(?: licen[cs]e)?", r"bsd (?:4 clause|four clause)(?: licen[cs]e)?"),
-    "bsd": (r"bsd(?: style)? licen[cs]e",),
-    "isc": (r"isc licen[cs]e",),
-    "zlib": (r"zlib(?: libpng)? licen[cs]e",),
-    "mpl": (r"mozilla public licen[cs]e",),
-    "epl": (r"eclipse public licen[cs]e",),
-    "cddl": (r"common development and distribution licen[cs]e",),
-    "cpl": (r"common public licen[cs]e",),
-    "eupl": (r"european union public licen[cs]e",),
-    "artistic": (r"(?:clarified )?artistic licen[cs]e", r"perl artistic licen[cs]e"),
-    "boost": (r"boost software licen[cs]e",),
-    "python": (r"python software foundation licen[cs]e", r"psf licen[cs]e"),
-    "php": (r"php licen[cs]e",),
-    "ruby": (r"ruby licen[cs]e", r"same terms as ruby"),
-    "openssl": (r"openssl licen[cs]e",),
-    "postgresql": (r"postgresql licen[cs]e",),
-    "wtfpl": (r"do what the fuck you want to public licen[cs]e", r"wtfpl"),
-    "unlicense": (r"the unlicense", r"released into the public domain unlicense"),
-    "ms-pl": (r"microsoft public licen[cs]e",),
-    "ms-rl": (r"microsoft reciprocal licen[cs]e",),
-    "ofl": (r"sil open font licen[cs]e", r"open font licen[cs]e"),
-    "odbl": (r"open (?:data commons )?(?:open )?database licen[cs]e",),
-    "odc-by": (r"open data commons attribution licen[cs]e",),
-    "pddl": (r"public domain dedication and licen[cs]e",),
-    "cc0": (r"cc0", r"creative commons zero", r"cc zero"),
-    "cc-by-nc-sa": (r"cc by nc sa", r"creative commons attribution non ?commercial share ?alike"),
-    "cc-by-nc-nd": (r"cc by nc nd", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s"),
-    "cc-by-nc": (r"cc by nc", r"creative commons attribution non ?commercial"),
-    "cc-by-sa": (r"cc by sa", r"creative commons attribution share ?alike"),
-    "cc-by-nd": (r"cc by nd", r"creative commons attribution no ?deriv(?:ative)?s"),
-    "cc-by": (r"cc by", r"creative commons attribution"),
-    "bsl": (r"business source licen[cs]e",),
-    "sspl": (r"server side public licen[cs]e",),
-    "elastic": (r"elastic licen[cs]e",),
-    "academic": (r"academic free licen[cs]e",),
-    "osl": (r"open software licen[cs]e",),
-    "ncsa": (r"university of illinois ncsa open source licen[cs]e", r"ncsa open source licen[cs]e"),
-    "vim": (r"vim licen[cs]e",),
-    "upl": (r"universal permissive licen[cs]e",),
-    "json": (r"json licen[cs]e",),
-    "beerware": (r"beer ?ware licen[cs]e",),
-    "public-domain": (r"(?:in|into|to) the public domain", r"public domain dedication"),
-    "proprietary": (r"all rights reserved", r"proprietary and confidential"),
-}
-
-#: Identifier forms "spdx license identifier X", as normalised words.
-IDENTIFIERS = {
-    "agpl": r"agpl \d \d", "lgpl": r"lgpl \d \d", "gpl": r"gpl \d \d", "gfdl": r"gfdl \d \d", "apache": r"apache \d \d", "mit": r"mit", "bsd-2-clause": r"bsd 2 clause",
-    "bsd-3-clause": r"bsd 3 clause", "bsd-4-clause": r"bsd 4 clause", "isc": r"isc", "zlib": r"zlib", "mpl": r"mpl \d \d", "epl": r"epl \d \d", "cddl": r"cddl \d \d",
-    "cpl": r"cpl \d \d", "eupl": r"eupl \d \d", "artistic": r"artistic \d \d", "boost": r"bsl 1 0", "python": r"psf 2 0", "php": r"php 3 01", "ruby": r"ruby",
-    "openssl": r"openssl", "postgresql": r"postgresql", "wtfpl": r"wtfpl", "unlicense": r"unlicense", "ms-pl": r"ms pl", "ms-rl": r"ms rl", "ofl": r"ofl \d \d",
-    "odbl": r"odbl 1 0", "odc-by": r"odc by 1 0", "pddl": r"pddl 1 0", "cc0": r"cc0 1 0", "cc-by-nc-sa": r"cc by nc sa \d \d", "cc-by-nc-nd": r"cc by nc nd \d \d",
-    "cc-by-nc": r"cc by nc \d \d", "cc-by-sa": r"cc by sa \d \d", "cc-by-nd": r"cc by nd \d \d", "cc-by": r"cc by \d \d", "bsl": r"busl 1 1", "sspl": r"sspl 1 0",
-    "elastic": r"elastic 2 0", "academic": r"afl \d \d", "osl": r"osl \d \d", "ncsa": r"ncsa", "vim": r"vim", "upl": r"upl 1 0", "json": r"json", "beerware": r"beerware",
-}
-
-#: Short names that need a version.
-SHORT = {k: rf"{k} v?\d+(?: \d+)?" for k in ("gpl", "lgpl", "agpl", "mpl", "epl", "cddl", "eupl", "apache")}
-
-#: Sentences that only one license has.
-SENTENCES = {
-    "mit": (r"permission is hereby granted free of charge to any person obtaining a copy", r"the software is provided as is without warranty of any kind express or implied"),
-    "gpl": (r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e",),
-    "lgpl": (r"this library is free software you can redistribute it and or modify it",),
-    "apache": (r"you may not use this file except in compliance with the licen[cs]e", r"unless required by applicable law or agreed to in writing software distributed under the licen[cs]e"),
-    "bsd": (r"redistribution and use in source and binary forms with or without modification are permitted",),
-    "bsd-3-clause": (r"neither the name of .{1,80}? nor the names of its contributors may be used",),
-    "isc": (r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",),
-    "mpl": (r"this source code form is subject to the terms of the mozilla public licen[cs]e",),
-    "boost": (r"permission is hereby granted free of charge to any person or organization obtaining a copy",),
-    "unlicense": (r"this is free and unencumbered software released into the public domain",),
-    "zlib": (r"altered source versions must be plainly marked as such",),
-    "python": (r"psf is making python available to licensee on an as is basis",),
-    "ofl": (r"reserved font name",),
-    "proprietary": (r"unauthorized copying of this file via any medium is strictly prohibited", r"no part of this .{1,40}? may be reproduced"),
-}
-
-#: Addresses of license texts, as normalised words.
-ADDRESSES = {
-    "apache": r"apache org licenses", "gpl": r"gnu org licenses(?: old licenses)? gpl", "lgpl": r"gnu org licenses(?: old licenses)? lgpl", "agpl": r"gnu org licenses agpl",
-    "gfdl": r"gnu org licenses fdl", "mit": r"opensource org licenses mit", "isc": r"opensource org licenses isc", "bsd": r"opensource org licenses bsd", "mpl": r"mozilla org mpl",
-    "epl": r"eclipse org legal epl", "cc0": r"creativecommons org publicdomain zero", "cc-by-nc-sa": r"creativecommons org licenses by nc sa", "cc-by-nc-nd": r"creativecommons org licenses by nc nd",
-    "cc-by-nc": r"creativecommons org licenses by nc", "cc-by-sa": r"creativecommons org licenses by sa", "cc-by-nd": r"creativecommons org licenses by nd", "cc-by": r"creativecommons org licenses by",
-    "boost": r"boost org license", "unlicense": r"unlicense org", "wtfpl": r"wtfpl net", "ofl": r"scripts sil org ofl", "odbl": r"opendatacommons org licenses odbl",
-}
-
-#: Words of which a text must hold one before any rule runs, and what each gates.
-KEYWORDS = (
-    "licen", "gpl", "cc", "creative", "creativecommons", "copyright", "reserved", "public domain", "permission", "redistribut", "proprietary", "unauthorized", "bsd",
-    "unlicense", "wtfpl", "merchantability", "warranty", "spdx", "psf", "mozilla org mpl", "eclipse org legal", "same terms as ruby", "altered source", "reproduced", "opendatacommons", "sil org", "apache", "mpl", "epl", "cddl", "eupl", "boost org", "opensource org", "gnu org", "clause",
-)
+#: What a detection of a form is worth as evidence.
+FORMS = {"id": 1.0, "text": 0.95, "notice": 0.95, "link": 0.9, "name": 0.7, "short": 0.6, "reserved": 0.3}
 
 
 @dataclass(frozen=True)
 class Signature:
     label: str
     form: str
-    priority: int
     weight: float
     pattern: re.Pattern
     keyword: str
-
-
-def _keyword(pattern: str) -> str:
-    """The longest literal that every match must hold."""
-    plain = re.sub(r"\(\?:[^()]*(?:\([^()]*\)\??[^()]*)*\)\??|\[[^]]*\]|\\d\+?|\.\{[^}]*\}\??|.\?", "\0", pattern)
-    return max(plain.split("\0"), key=len).strip()
+    reach: int  # characters of the longest match
+
+
+def _width(tokens: Iterable) -> int:
+    """The characters of the longest match; rules have no unbounded repeats."""
+    total = 0
+    for op, arg in tokens:
+        if op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            _, most, inner = arg
+            total += int(most) * _width(inner)
+        elif op is C.SUBPATTERN:
+            total += _width(arg[3])
+        elif op is C.BRANCH:
+            total += max(map(_width, arg[1]))
+        else:
+            total += 1
+    return total
+
+
+def keyword_of(expression: str) -> str:
+    """The longest literal that every match holds."""
+    best = run = ""
+    for op, arg in _parser.parse(expression):
+        if op is C.LITERAL:
+            run += chr(arg)
+            best = max(best, run, key=lambda x: len(x.strip()))
+        else:
+            run = ""
+    return best.strip()
 
 
 @lru_cache(maxsize=1)
 def signatures() -> tuple[Signature, ...]:
-    """All rules, ordered by priority: identifiers, statements, addresses,
-    sentences, full names; within a form as listed above (special first)."""
-    grant = r"(?:(?:is|are) )?(?:licen[cs]ed|released|distributed|available|published|provided|made available) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:a )?"
-    tail = _VERSION + _OR_LATER
-    #: label, form, weight, what comes before, the part that always matches, what may follow
-    made: list[tuple[str, str, float, str, str, str]] = []
-    made += [(k, "identifier", 1.0, "(?:spdx )?", rf"licen[cs]e identifier {p}", "(?: only| or later)?") for k, p in IDENTIFIERS.items()]
-    made += [(k, "identifier", 0.95, "", rf"licen[cs]e {p}", "") for k, p in IDENTIFIERS.items() if " " in p]
-    made += [(k, "grant", 0.95, grant, p, tail) for k, names in FAMILIES.items() for p in names if k not in ("public-domain", "proprietary")]
-    made += [(k, "address", 0.9, "", p, "") for k, p in ADDRESSES.items()]
-    made += [(k, "sentence", 0.9, "", p, "") for k, ps in SENTENCES.items() for p in ps]
-    made += [(k, "name", 0.7, "", p, tail) for k, names in FAMILIES.items() for p in names]
-    made += [(k, "name", 0.6, "", p, _OR_LATER) for k, p in SHORT.items()]
-    forms = ("identifier", "grant", "address", "sentence", "name")
-    return tuple(
-        Signature(k, form, (len(forms) - forms.index(form)) * 1000 - i, weight, re.compile(rf"(?<= ){before}(?:{core}){after}(?= )"), _keyword(core))
-        for i, (k, form, weight, before, core, after) in enumerate(made)
-    )
+    """All rules in order of priority."""
+    made = []
+    for line in RULES.strip().splitlines():
+        label, form, expression = line.split(" ", 2)
+        made.append(Signature(label, form, FORMS[form], re.compile(rf"(?<= )(?:{expression})(?= )"), keyword_of(expression), _width(_parser.parse(expression))))
+    return tuple(made)
 
 
 @lru_cache(maxsize=1)
 def _automaton():
+    """Finds the keywords of all rules at once."""
     import ahocorasick
 
-    a = ahocorasick.Automaton()
+    of_keyword: dict[str, list[int]] = {}
     for i, s in enumerate(signatures()):
-        if s.keyword:
-            a.add_word(s.keyword, (*a.get(s.keyword, ()), i))
+        of_keyword.setdefault(s.keyword, []).append(i)
+    a = ahocorasick.Automaton()
+    for keyword, rules in of_keyword.items():
+        a.add_word(keyword, tuple(rules))
     a.make_automaton()
     return a
 
 
-_GATE = re.compile("|".join(map(re.escape, sorted(KEYWORDS, key=len, reverse=True))))
-
-
 @dataclass(frozen=True)
 class Detection:
     start: int  # in the normalised text
     end: int
+    rule: int
     signature: Signature
 
 
-def resolve(found: list[Detection]) -> list[Detection]:
-    """Priority first, then length, then place: a detection goes if a kept one
-    contains it or overlaps it."""
-    kept: list[Detection] = []
-    for d in sorted(found, key=lambda d: (-d.signature.priority // 1000, -(d.end - d.start), -d.signature.priority, d.start)):
-        if all(d.end <= k.start or d.start >= k.end for k in kept):
+def resolve(found: list[Detection], length: int) -> list[Detection]:
+    """Priority first, then place: a detection goes if a kept one contains it or
+    overlaps it. Places taken are marked, so this is linear in what was found."""
+    taken, kept = bytearray(length), []
+    for d in sorted(found, key=lambda d: (d.rule, d.start)):
+        if taken.find(1, d.start, d.end) < 0:
+            taken[d.start : d.end] = b"\1" * (d.end - d.start)
             kept.append(d)
     return sorted(kept, key=lambda d: d.start)
 
 
+def _matches(normal: str, rule: int, ends: list[int]) -> Iterable[Detection]:
+    """Matches around the places (ends) of the rule's keyword."""
+    s = signatures()[rule]
+    begin, stop = max(0, ends[0] - s.reach), ends[0] + s.reach + 2
+    for at in [*ends[1:], None]:
+        if at is not None and at - s.reach <= stop:
+            stop = at + s.reach + 2
+            continue
+        for m in s.pattern.finditer(normal, begin, min(stop, len(normal))):
+            yield Detection(m.start(), m.end(), rule, s)
+        if at is not None:
+            begin, stop = at - s.reach, at + s.reach + 2
+
+
 def detect(normal: str) -> list[Detection]:
     """Resolved detections in a normalised text with a space at both ends."""
-    if not _GATE.search(normal):
+    due: dict[int, list[int]] = {}
+    for at, rules in _automaton().iter(normal):
+        for i in rules:
+            due.setdefault(i, []).append(at + 1)
+    if not due:
         return []
-    due = sorted({i for _, hit in _automaton().iter(normal) for i in hit})
-    found = [Detection(m.start(), m.end(), s) for s in map(signatures().__getitem__, due) for m in s.pattern.finditer(normal)]
-    return resolve(found)
+    return resolve([d for i, ends in due.items() for d in _matches(normal, i, ends)], len(normal))
 
 
 def normalise(text: str | None) -> tuple[str, int]:
     """Letter words in lower case (A-Z only) with single spaces, and their number."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(T.LETTERS_FOLDED).split(b" ")
-    words = [w for w in words if w]
+    words = (text or "").encode("utf-8", "surrogatepass").translate(T.LETTERS_FOLDED).split()
     return " " + b" ".join(words).decode("utf-8", "surrogatepass") + " ", len(words)
 
 
+def _word_numbers(normal: str, places: list[int]) -> list[int]:
+    """The number of the word that begins at each of the ascending places."""
+    out, at, n = [], 0, -1
+    for p in places:
+        n += normal.count(" ", at, p)
+        at = p
+        out.append(n)
+    return out
+
+
+def base_places(normal: str) -> tuple[list[int], set[str]]:
+    """Where the base phrases begin (words from 0) and their labels."""
+    places, labels = [], set()
+    for phrase, label in BASE_PHRASES.items():
+        at = normal.find(f" {phrase} ")
+        while at >= 0:
+            places.append(at + 1)
+            labels.add(label)
+            at = normal.find(f" {phrase} ", at + 1)
+    return _word_numbers(normal, sorted(places)), labels
+
+
 def scan(texts: list[str | None]) -> dict[str, list]:
     out: dict[str, list] = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_detections", "detections")}
     for text in texts:
         normal, n = normalise(text)
-        places, labels = [], set()
-        for phrase, label in BASE_PHRASES.items():
-            at = normal.find(f" {phrase} ")
-            while at >= 0:
-                places.append(normal.count(" ", 0, at))
-                labels.add(label)
-                at = normal.find(f" {phrase} ", at + 1)
+        places, labels = base_places(normal)
         found = detect(normal)
         doubt = 1.0
         for d in found:
             doubt *= 1.0 - d.signature.weight * 0.9
         out["n_words"].append(n)
         out["n_base"].append(len(places))
-        out["first_word"].append(min(places, default=None))
-        out["last_word"].append(max(places, default=None))
+        out["first_word"].append(places[0] if places else None)
+        out["last_word"].append(places[-1] if places else None)
         out["base_labels"].append(",".join(sorted(labels)))
         out["labels"].append(",".join(sorted(labels | {d.signature.label for d in found})))
         out["score"].append(round(1.0 - doubt, 6) if found else (0.5 if places else 0.0))
         out["n_detections"].append(len(found))
-        out["detections"].append([{"label": d.signature.label, "form": d.signature.form, "first_word": normal.count(" ", 0, d.start) - 1, "text": normal[d.start : d.end]} for d in found])
+        first = _word_numbers(normal, [d.start for d in found])
+        out["detections"].append([{"label": d.signature.label, "form": d.signature.form, "first_word": w, "text": normal[d.start : d.end]} for d, w in zip(found, first, strict=True)])
     return out
 
 

@@ -80,13 +80,70 @@ def test_license_rules(text, labels):
     assert {d.signature.label for d in license_scan.detect(license_scan.normalise(text)[0])} == labels
 
 
-def test_license_keywords_are_necessary():
+def _samples(tokens):
+    """Strings that a parsed rule matches: the shortest and the longest way."""
+    from re import _constants as C
+
+    short = long = ""
+    for op, arg in tokens:
+        if op is C.LITERAL:
+            a = b = chr(arg)
+        elif op is C.NOT_LITERAL:
+            a = b = "x"
+        elif op is C.IN:
+            a = b = chr(arg[0][1]) if arg[0][0] is C.LITERAL else "1" if arg[0][0] is C.CATEGORY else chr(arg[0][1][0])
+        elif op is C.MAX_REPEAT:
+            least, most, inner = arg
+            a, b = _samples(inner)
+            a, b = a * least, b * most
+        elif op is C.SUBPATTERN:
+            a, b = _samples(arg[3])
+        else:
+            assert op is C.BRANCH, op
+            a, b = _samples(arg[1][0])[0], _samples(arg[1][-1])[1]
+        short, long = short + a, long + b
+    return short, long
+
+
+def _all_matches(normal):
+    """Every rule over the whole text, without a prefilter, in order of priority."""
+    kept = []
+    for i, s in enumerate(license_scan.signatures()):
+        for m in s.pattern.finditer(normal):
+            if all(m.end() <= k[0] or m.start() >= k[1] for k in kept):
+                kept.append((m.start(), m.end(), i))
+    return sorted(kept)
+
+
+def test_every_license_rule_fires_through_the_prefilter():
+    from re import _parser
+
     rules = license_scan.signatures()
-    assert len(rules) > 200 and all(s.keyword for s in rules)
-    for family, names in license_scan.FAMILIES.items():
-        for name in names:
-            sample = re.sub(r"\(\?:([^()|]*)[^()]*\)\??", r"\1", name).replace("[cs]", "c").replace(" ?", " ")
-            assert license_scan.detect(f" {sample} "), (family, sample)
+    assert len(rules) > 300 and max(s.reach for s in rules) < 2000 and len({s.pattern.pattern for s in rules}) == len(rules)
+    for i, s in enumerate(rules):
+        expression = s.pattern.pattern.removeprefix("(?<= )(?:").removesuffix(")(?= )")
+        for sample in _samples(_parser.parse(expression)):
+            normal = f" {sample} "
+            assert len(s.keyword) >= 3 and s.keyword in sample and len(sample) <= s.reach, s
+            assert any(m.rule == i for m in license_scan._matches(normal, i, [m.end() for m in re.finditer(re.escape(s.keyword), normal)])), (s, sample)
+            assert [(d.start, d.end, d.rule) for d in license_scan.detect(normal)] == _all_matches(normal), sample
+
+
+def test_license_detections_against_all_rules_over_the_whole_text():
+    rng = random.Random(9)
+    parts = ["cc by", "nc", "sa", "4 0", "apache license", "version 2 0", "gpl v3", "gnu", "general public license", "mit license", "the", "licensed under the", "creative commons attribution", "in the public domain", "bsd", "3 clause", "all rights reserved", "x" * 30, "no part of this", "may be reproduced"]
+    for _ in range(400):
+        normal = " " + " ".join(rng.choice(parts) for _ in range(rng.randrange(1, 60))) + " "
+        assert [(d.start, d.end, d.rule) for d in license_scan.detect(normal)] == _all_matches(normal), normal
+
+
+@pytest.mark.parametrize("unit", ["cc by ", "CC BY-NC 4.0 ", "mit license ", "licen", "gpl v", "no part of this ", "neither the name of "])
+def test_license_scan_of_very_long_texts(unit):
+    import time
+
+    began = time.process_time()
+    got = license_scan.scan([unit * (3_000_000 // len(unit))])
+    assert time.process_time() - began < 20 and got["n_words"][0] > 0
 
 
 def test_base_secrets_against_plain_patterns(spark):
