@@ -252,7 +252,7 @@ def _rest(buckets: DataFrame, comp: DataFrame, feature: DataFrame, sets: DataFra
         found = links_within(ids, comps, items, percent, left, _earlier(bands, sigs, band, percent)) if left is None or (left.any() and not left.all()) else []
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], schema=out)
 
-    wanted = rows.select("id").distinct()
+    wanted = written(rows.select("id").distinct(), "wanted")
     held = feature.select("id", "bands", "sig").join(sets.join(wanted, "id", "left_semi"), "id").dropDuplicates(["id"])
     return dealt.join(held, "id").groupBy("key", "kind", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
