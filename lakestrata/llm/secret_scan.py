@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 from itertools import accumulate
 
@@ -44,6 +45,7 @@ _NUMBER = re.compile(r"[0-9+/_=-]+|[0-9]{4}[0-9TZ+_-]+")  # numbers, dates and t
 _NAME_PART = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})+")
 RATIO = 2.2
 LEAST = 20  # characters of a run, and of a part or stretch of one
+LONGEST = 64  # characters by which a stretch may grow to the end of its part
 _JOINTS = "/_=-"
 _PART = re.compile(r"[^/_=-]+")
 #: Identifiers and numbers within a run; no stretch goes over them.
@@ -108,6 +110,7 @@ def _within(run: str, enc, ratio: float) -> list[tuple[int, int]]:
     """Random parts and stretches of a run that passes as a whole, merged."""
     low = lambda a, b: b - a >= LEAST and not known(run[a:b]) and b - a < ratio * len(enc.encode_ordinary(run[a:b]))
     parts = [(m.start(), m.end()) for m in _PART.finditer(run)]
+    starts, ends = [p[0] for p in parts], [p[1] for p in parts]
     found = [p for p in parts if low(*p)]
     begin = 0
     for end, after in [*(m.span() for m in _UNIT.finditer(run)), (len(run), len(run))]:
@@ -122,9 +125,9 @@ def _within(run: str, enc, ratio: float) -> list[tuple[int, int]]:
             if not low(a, b):
                 continue
             # Whole parts, as far as the ratio allows: the ends of a secret may be long tokens.
-            first, last = next(p[0] for p in parts if p[1] > a), next(p[1] for p in reversed(parts) if p[0] < b)
-            a = first if first >= begin and low(first, b) else a
-            found.append((a, last if last <= end and low(a, last) else b))
+            first, last = parts[bisect_right(ends, a)][0], parts[bisect_left(starts, b) - 1][1]
+            a = first if max(begin, a - LONGEST) <= first and low(first, b) else a
+            found.append((a, last if last <= min(end, b + LONGEST) and low(a, last) else b))
         begin = after
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
@@ -158,7 +161,13 @@ def find(text: str | None, enc, ratio: float = RATIO) -> tuple[list, list]:
     if not text:
         return [], []
     base = base_spans(text)
-    more = [s for s in random_spans(text, enc, ratio) if not any(a <= s[0] and s[2] <= b for a, _, b in base)]
+    more, reached, i = [], -1, 0
+    for s in random_spans(text, enc, ratio):
+        while i < len(base) and base[i][0] <= s[0]:
+            reached = max(reached, base[i][2])
+            i += 1
+        if s[2] > reached:
+            more.append(s)
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 
