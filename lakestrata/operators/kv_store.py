@@ -3,15 +3,19 @@
     log/<batch>/      one Parquet append per commit
     commits/<n>       a marker per commit; without it an append does not exist
     base/<n>/         a folded snapshot, made by checkpoint or optimize
-    CURRENT           which base holds, and up to which commit
+    CURRENT.A, .B     which base holds, and up to which commit: two slots with
+                      a CRC, used in turn; a damaged one leaves the one before
 
 Writers stage operations and commit them in one append; readers fold the base
 and the committed log. Reads on a writable store commit staged operations
-first, so a writer sees its own writes.
+first, so a writer sees its own writes. A marker is made exclusively: of two
+writers that want one number the second numbers its append anew, so no batch
+is lost.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 from functools import reduce
@@ -59,7 +63,7 @@ class KvStore:
         if fs.exists(spark, f"{path}/store.json"):
             raise AlreadyExists(path)
         fs.write_json(spark, f"{path}/store.json", {"shards": shards})
-        fs.write_json(spark, f"{path}/CURRENT", {"base": None, "commit": 0, "epoch": 1})
+        fs.write_pointer(spark, f"{path}/CURRENT", {"base": None, "commit": 0, "epoch": 1})
         return cls(spark, path)
 
     def __enter__(self) -> KvStore:
@@ -129,20 +133,35 @@ class KvStore:
     def _append(self, ops: DataFrame, durability: str) -> int:
         """Data first, the marker last: without it nothing is visible."""
         number, name = self._last_commit() + 1, uuid.uuid4().hex
-        seq = (F.lit(number).cast("long") * F.lit(1 << 40)) + F.col("n")
+        numbered = lambda rows, n: rows.select(
+            (F.lit(n).cast("long") * F.lit(1 << 40) + F.col("n")).alias("seq"), F.lit(n).cast("long").alias("batch_id"), *_COLUMNS[2:]
+        )
         rows = ops.select(
-            seq.alias("seq"), F.lit(number).cast("long").alias("batch_id"), "op", "key", "value", F.col("flags").cast("long").alias("flags"),
-            F.coalesce("shard", kv_log.route(F.col("key"), self.shards)).cast("int").alias("shard"), F.lit(None).cast("long").alias("version"), crc32c_column(F.col("value")).alias("crc"),
+            "n", "op", "key", "value", F.col("flags").cast("long").alias("flags"), F.coalesce("shard", kv_log.route(F.col("key"), self.shards)).cast("int").alias("shard"),
+            F.lit(None).cast("long").alias("version"), crc32c_column(F.col("value")).alias("crc"),
         )
-        rows.repartition("shard").sortWithinPartitions("seq").write.parquet(f"{self.path}/log/{name}")
-        fs.write_json(self.spark, f"{self.path}/commits/{number:020d}.json", {"log": name, "durability": durability})
+        numbered(rows, number).repartition("shard").sortWithinPartitions("seq").write.parquet(f"{self.path}/log/{name}")
+        while not self._mark(number, name, durability):
+            old, number, renamed = number, self._last_commit() + 1, uuid.uuid4().hex
+            again = self.spark.read.schema(LOG).parquet(f"{self.path}/log/{name}").withColumn("n", F.col("seq") - F.lit(old) * F.lit(1 << 40))
+            numbered(again, number).write.parquet(f"{self.path}/log/{renamed}")
+            fs.delete(self.spark, f"{self.path}/log/{name}")
+            name = renamed
         return number
 
+    def _mark(self, number: int, name: str, durability: str) -> bool:
+        """Makes the marker of a commit; False if another writer has the number."""
+        return fs.write_new(self.spark, f"{self.path}/commits/{number:020d}.json", json.dumps({"log": name, "durability": durability}).encode())
+
     def _commits(self) -> list[int]:
         return [int(n.split(".")[0]) for n in fs.listing(self.spark, f"{self.path}/commits") if n.endswith(".json")]
 
+    def _current(self) -> dict:
+        """The newest pointer that is whole and whose base is there."""
+        return fs.read_pointer(self.spark, f"{self.path}/CURRENT", lambda v: v["base"] is None or fs.exists(self.spark, f"{self.path}/base/{v['base']}"))
+
     def _last_commit(self) -> int:
-        return max([fs.read_json(self.spark, f"{self.path}/CURRENT")["commit"], *self._commits()])
+        return max([self._current()["commit"], *self._commits()])
 
     def batch(self, shard: int | None = None) -> Batch:
         self._need("write")
@@ -152,7 +171,7 @@ class KvStore:
 
     def log(self, upto: int | None = None) -> DataFrame:
         """Base and committed appends as log rows, up to a commit."""
-        current = fs.read_json(self.spark, f"{self.path}/CURRENT")
+        current = self._current()
         parts = []
         if current["base"] and (upto is None or upto >= current["commit"]):
             parts.append(self.spark.read.schema(LOG).parquet(f"{self.path}/base/{current['base']}"))
@@ -224,21 +243,23 @@ class KvStore:
         # Without the log behind it a base needs no tombstones.
         rows = kv_log.live(self.log(last)) if drop_log else kv_log.fold(self.log(last))
         rows.select(*_COLUMNS).repartition("shard").sortWithinPartitions("key").write.parquet(f"{self.path}/base/{name}")
-        current = fs.read_json(self.spark, f"{self.path}/CURRENT")
-        fs.write_json(self.spark, f"{self.path}/CURRENT", {"base": name, "commit": last, "epoch": current["epoch"] + 1})
-        if drop_log:
+        current = self._current()
+        fs.write_pointer(self.spark, f"{self.path}/CURRENT", {"base": name, "commit": last, "epoch": current["epoch"] + 1})
+        if drop_log:  # the pointer before this one, and what it reads, goes with the log
+            fs.write_pointer(self.spark, f"{self.path}/CURRENT", {"base": name, "commit": last, "epoch": current["epoch"] + 2})
             for n in self._commits():
-                if n <= last:
+                if n < last:  # the last marker stays, so that its number is not given again
                     fs.delete(self.spark, f"{self.path}/log/{fs.read_json(self.spark, f'{self.path}/commits/{n:020d}.json')['log']}")
                     fs.delete(self.spark, f"{self.path}/commits/{n:020d}.json")
             for b in fs.listing(self.spark, f"{self.path}/base"):
                 if b != name:
                     fs.delete(self.spark, f"{self.path}/base/{b}")
 
-    def recover(self) -> list[str]:
-        """Deletes appends without a marker (crashed writers); returns them."""
+    def recover(self, older_than: float = 3600.0) -> list[str]:
+        """Deletes appends without a marker that have not changed for so many
+        seconds (crashed writers; younger ones may still be written); returns them."""
         named = {fs.read_json(self.spark, f"{self.path}/commits/{n:020d}.json")["log"] for n in self._commits()}
-        lost = [n for n in fs.listing(self.spark, f"{self.path}/log") if n not in named]
+        lost = [n for n in fs.listing(self.spark, f"{self.path}/log") if n not in named and fs.age_s(self.spark, f"{self.path}/log/{n}") >= older_than]
         for n in lost:
             fs.delete(self.spark, f"{self.path}/log/{n}")
         return lost
@@ -250,7 +271,15 @@ class KvStore:
         records = placed.select("shard", "offset", F.col("size").alias("size"), "key", crc32c_column(F.col("value")).alias("crc"), F.col("crc").alias("stored_crc"))
         index = placed.join(kv_log.live(rows).select("seq"), "seq", "left_semi").select("shard", "offset", "key")
         free = kv_log.holes(placed, kv_log.live(rows)).select("shard", "offset", "size").where("size > 0")
-        return kv_log.verify(records, index, rows.select("key"), free)
+        found = kv_log.verify(records, index, rows.select("key"), free)
+        for kind, n in (("invalid_superblock", len(fs.damaged_slots(self.spark, f"{self.path}/CURRENT"))), ("corruption", self._unreadable())):
+            found = found.unionByName(self.spark.range(n).select(F.lit(kind).alias("kind"), *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("shard", "offset", "key")]))
+        return found
+
+    def _unreadable(self) -> int:
+        """Committed appends of which nothing can be read."""
+        names = [fs.read_json(self.spark, f"{self.path}/commits/{n:020d}.json")["log"] for n in self._commits() if n > self._current()["commit"]]
+        return sum(not fs.exists(self.spark, f"{self.path}/log/{n}/_SUCCESS") and not any(f.endswith(".parquet") for f in fs.listing(self.spark, f"{self.path}/log/{n}")) for n in names)
 
 
 class Batch:

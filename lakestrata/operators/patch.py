@@ -27,7 +27,7 @@ from ..errors import Cancelled, CodecMismatch, Corruption, InvalidArgument, NoPa
 from ..functions import bindiff, codecs
 from ..functions.checksums import crc32c, crc_sequence_hash
 from ..sources import fs
-from ..sources.pack import PAGES, TABLES, Pack, read_pack
+from ..sources.pack import PAGES, TABLES, Pack, prune, publish, read_pack
 from .diff import KIND_ORDER, Diff, read_diff
 from .verify import only_entries, verify_pack
 
@@ -354,8 +354,7 @@ def patch_pack(
             if bad:
                 raise Corruption(str(bad[0].asDict()))
         step("publish")
-        current = fs.read_json(spark, f"{path}/CURRENT")
-        fs.write_json(spark, f"{path}/CURRENT", {"version": name, "epoch": current["epoch"] + 1})
+        publish(spark, path, name)
         fs.delete(spark, intent_path)
         step("done")
         report.diffs = len(chain)
@@ -381,6 +380,21 @@ def _staged(spark: SparkSession, pack: Pack, root: str) -> Pack:
     return Pack(pack.manifest, **{t: spark.read.schema(ddl).parquet(f"{root}/{t}") for t, ddl in TABLES.items()})
 
 
+def recover_pack(spark: SparkSession, path: str, owner: str | None = None) -> str:
+    """Ends a patch that a crash left: `finished` if its version is the current
+    one, else `rolled back` (what it had staged goes, the version before holds,
+    the patch can be run again); `clean` if there was none."""
+    with fs.Lock(spark, f"{path}/patch.lock", owner or uuid.uuid4().hex):
+        if not fs.exists(spark, f"{path}/intent.json"):
+            return "clean"
+        intent = fs.read_json(spark, f"{path}/intent.json")
+        done = read_pack(spark, path).version == intent["to_version"]
+        if not done:
+            prune(spark, path)
+        fs.delete(spark, f"{path}/intent.json")
+        return "finished" if done else "rolled back"
+
+
 class PatchTask:
     """A patch on a thread of its own: poll, wait, cancel."""
 

@@ -18,6 +18,7 @@ from ..functions.checksums import crc32c_many
 from ..functions.paths import checked_path, normalize
 from ..sources import fs
 from ..sources.pack import BLOCK, EXPLICIT_REFS, OVERLAY, REF, Pack, decode_pages, empty_pack, encode_pages, explode_pages, page_count, read_pack, write_pack
+from ..sources.pack import exists as pack_exists
 from . import overlay
 
 WRITABLE_PRIORITY = (1 << 32) - 1
@@ -75,7 +76,7 @@ class Volume:
         """The pack that takes writes, made if missing; one at most, on top."""
         if self.writable:
             raise InvalidArgument("there is a writable pack")
-        if not fs.exists(self.spark, f"{path}/CURRENT"):
+        if not pack_exists(self.spark, path):
             write_pack(empty_pack(self.spark, pack_id, 1), path)
         self.mount(path, WRITABLE_PRIORITY)
         self.writable, self.page_size = path, page_size

@@ -12,7 +12,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..errors import Corruption
 from ..functions import codecs
+from .fs import parse_slot, slot_paths
 from .pack import TABLES
 
 RAW_PAGES = "entry long, block int, page int, raw binary"
@@ -30,10 +32,16 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         fs, root = pafs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
-        import json
-
-        with fs.open_input_file(f"{root}/CURRENT") as f:
-            version = json.loads(f.readall())["version"]
+        slots = []
+        for path in slot_paths(f"{root}/CURRENT"):
+            if fs.get_file_info(path).type == pafs.FileType.File:
+                with fs.open_input_file(path) as f:
+                    slots.append(parse_slot(f.readall()))
+        there = lambda v: fs.get_file_info(f"{root}/versions/{v['version']}/manifest.json").type == pafs.FileType.File
+        usable = [v for v in slots if v and there(v)]
+        if not usable:
+            raise Corruption(f"no usable pointer in {self.path}")
+        version = max(usable, key=lambda v: v["epoch"])["version"]
         files = fs.get_file_info(pafs.FileSelector(f"{root}/versions/{version}/{self.table}"))
         return [_File(f.path) for f in files if f.path.endswith(".parquet")]
 

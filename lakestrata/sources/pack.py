@@ -7,7 +7,8 @@ paths       path, entry, flags
 tombstones  entry, version, reason
 manifest    one JSON object
 
-A pack on disk is a directory of immutable versions and a pointer, CURRENT; a
+A pack on disk is a directory of immutable versions and a pointer (CURRENT, in
+two slots with a CRC: a damaged one leaves the version before); a
 build writes a new version and then swaps the pointer, so readers see all of a
 version or none of it.
 """
@@ -219,14 +220,29 @@ def write_pack(pack: Pack, path: str) -> Pack:
             df = df.repartition("shard", "entry").sortWithinPartitions("entry", "block", "page")
         df.write.parquet(f"{path}/versions/{name}/{table}")
     fs.write_json(spark, f"{path}/versions/{name}/manifest.json", pack.manifest)
-    epoch = fs.read_json(spark, f"{path}/CURRENT")["epoch"] + 1 if fs.exists(spark, f"{path}/CURRENT") else 1
-    fs.write_json(spark, f"{path}/CURRENT", {"version": name, "epoch": epoch})
+    publish(spark, path, name)
     return read_pack(spark, path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    return fs.pointer_exists(spark, f"{path}/CURRENT")
+
+
+def current(spark: SparkSession, path: str) -> dict:
+    """The newest pointer of the pack at a path that is whole and whose version
+    is there."""
+    return fs.read_pointer(spark, f"{path}/CURRENT", lambda v: fs.exists(spark, f"{path}/versions/{v['version']}/manifest.json"))
+
+
+def publish(spark: SparkSession, path: str, version: str) -> None:
+    """Makes a written version the current one."""
+    epoch = current(spark, path)["epoch"] + 1 if exists(spark, path) else 1
+    fs.write_pointer(spark, f"{path}/CURRENT", {"version": version, "epoch": epoch})
+
+
 def read_pack(spark: SparkSession, path: str) -> Pack:
     """The current version of the pack at a path."""
-    root = f"{path}/versions/{fs.read_json(spark, f'{path}/CURRENT')['version']}"
+    root = f"{path}/versions/{current(spark, path)['version']}"
     tables = {t: spark.read.schema(ddl).parquet(f"{root}/{t}") for t, ddl in TABLES.items()}
     return Pack(fs.read_json(spark, f"{root}/manifest.json"), **tables)
 
@@ -234,8 +250,8 @@ def read_pack(spark: SparkSession, path: str) -> Pack:
 def prune(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
     """Deletes versions of a pack that no pointer names, but for the newest
     `keep` of the others; returns their names."""
-    current = fs.read_json(spark, f"{path}/CURRENT")["version"]
-    others = [v for v in fs.listing(spark, f"{path}/versions") if v != current]
+    named = current(spark, path)["version"]
+    others = [v for v in fs.listing(spark, f"{path}/versions") if v != named]
     gone = others[: max(0, len(others) - keep + 1)] if keep > 1 else others
     for v in gone:
         fs.delete(spark, f"{path}/versions/{v}")
@@ -280,12 +296,12 @@ def build_incremental(files: DataFrame, path: str, pack_id: int, version: int, s
     now = build_state(files, pack_id, version, shards)
     n = now.count()
     try:
-        if fs.exists(spark, f"{path}/CURRENT"):
-            before = spark.read.schema(CACHE).parquet(f"{path}/cache/{fs.read_json(spark, f'{path}/CURRENT')['version']}")
+        if exists(spark, path):
+            before = spark.read.schema(CACHE).parquet(f"{path}/cache/{current(spark, path)['version']}")
             if build_changes(before, now).where("change <> 'same'").limit(1).count() == 0:
                 return BuildResult(read_pack(spark, path), 0, n)
     except Exception as e:  # a cache that can't be read only costs a build
         spark._jvm.org.apache.logging.log4j.LogManager.getLogger("lakestrata").warn(f"build cache of {path}: {e}")
     pack = write_pack(build_pack(files, pack_id, version, shards), path)
-    now.write.mode("overwrite").parquet(f"{path}/cache/{fs.read_json(spark, f'{path}/CURRENT')['version']}")
+    now.write.mode("overwrite").parquet(f"{path}/cache/{current(spark, path)['version']}")
     return BuildResult(pack, n, 0)

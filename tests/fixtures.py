@@ -1,27 +1,52 @@
-"""The versioned data set of three pack versions."""
+"""A small archive in three versions, chosen for what changes in it.
+
+    index   text, compressed: lines come in the middle, then it is cut at a page's end
+    thumbs  noise, stored as it is: grows, then changes across a page boundary
+    old     goes
+    keep    stays, then one word changes
+    silent  empty, then full
+    take    comes, exactly two pages, then changes in the middle
+    extra   comes last
+"""
+
+import random
 
 SPEC = "ordinal long, path string, entry long, data binary, page_size int, codec string, level int"
+PAGE = 4096
+PACK_ID = 4101
+INDEX, THUMBS, OLD, KEEP, SILENT, TAKE, EXTRA = range(9001, 9008)
+PATHS = {INDEX: "catalog/index.tsv", THUMBS: "catalog/thumbs.raw", OLD: "notes/old.txt", KEEP: "notes/keep.txt", SILENT: "audio/silent.pcm", TAKE: "audio/take.pcm", EXTRA: "extra.bin"}
+STORED = {INDEX: ("lz4", 3), THUMBS: ("none", 0), OLD: ("lz4", 1), KEEP: ("none", 0), SILENT: ("none", 0), TAKE: ("lz4", 9), EXTRA: ("none", 0)}
 
+_rng = random.Random(20260)
 
-def pattern(n, seed, period):
-    return bytes(((i // period) * 7 + seed * 13 + i % 5) % 251 for i in range(n))
 
+def listing(first, n):
+    """Lines of a table: regular enough to compress, no two alike."""
+    return "".join(f"{i}\tshelf {i % 17}\t{(i * i) % 9973} mm\tbox of {('glass', 'paper', 'brass')[i % 3]}\n" for i in range(first, first + n)).encode()
 
-def edited(data, at, n):
-    return data[:at] + bytes(b ^ 0x5A for b in data[at : at + n]) + data[at + n :]
 
+_index = listing(0, 270)
+_more = _index[:4000] + listing(5000, 14) + _index[4000:]
+_thumbs = _rng.randbytes(3 * PAGE - 700)
+_grown = _thumbs + _rng.randbytes(PAGE // 2)
+_across = _grown[: PAGE - 25] + _rng.randbytes(60) + _grown[PAGE + 35 :]
+_keep = b"The keeper notes that nothing was moved in spring. " * 30
+_take = bytes(min(255, abs((i % 400) - 200)) for i in range(2 * PAGE))
 
-A1, B1, C1, D1 = pattern(12188, 1, 64), pattern(8192, 2, 7), pattern(1000, 3, 9), pattern(600, 4, 5)
-A2, B2, E2, F2 = edited(A1, 4596, 300), B1 + pattern(3000, 9, 8), pattern(5000, 5, 11), pattern(8202, 6, 33)
-A3, B3, D3, F3, G3 = A2[:8142], edited(B2, 100, 64), edited(D1, 10, 5), edited(F2, 4097, 2000), pattern(20480, 7, 3)
 VERSIONS = {
-    1: [("/a.bin", 101, A1, "lz4", 4), ("/b.bin", 102, B1, "none", 0), ("/c.bin", 103, C1, "lz4", 0), ("/d.bin", 104, D1, "none", 0), ("/e.bin", 105, b"", "none", 0)],
-    2: [("/a.bin", 101, A2, "lz4", 4), ("/b.bin", 102, B2, "none", 0), ("/d.bin", 104, D1, "none", 0), ("/e.bin", 105, E2, "none", 0), ("/sub/f.bin", 106, F2, "lz4", 2)],
-    3: [("/a.bin", 101, A3, "lz4", 4), ("/b.bin", 102, B3, "none", 0), ("/d.bin", 104, D3, "none", 0), ("/e.bin", 105, E2, "none", 0), ("/sub/f.bin", 106, F3, "lz4", 2), ("/g.bin", 107, G3, "none", 0)],
+    1: {INDEX: _index, THUMBS: _thumbs, OLD: listing(800, 25), KEEP: _keep, SILENT: b""},
+    2: {INDEX: _more, THUMBS: _grown, KEEP: _keep, SILENT: bytes(3000) + _rng.randbytes(2500), TAKE: _take},
 }
+VERSIONS[3] = VERSIONS[2] | {INDEX: _more[: 2 * PAGE], THUMBS: _across, KEEP: _keep.replace(b"spring", b"autumn", 1), TAKE: _take[:PAGE] + _rng.randbytes(500) + _take[PAGE + 500 :], EXTRA: _rng.randbytes(5 * PAGE)}
+assert 2 * PAGE < len(_index) < len(_more) < 3 * PAGE
+
+
+def files_of(version):
+    return [(f"/{PATHS[e]}", e, data, *STORED[e]) for e, data in VERSIONS[version].items()]
 
 
-def inputs(spark, files, page_size=4096, strategy=None):
+def inputs(spark, files, page_size=PAGE, strategy=None):
     rows = [(i, p, e, bytearray(d), page_size, c, n) for i, (p, e, d, c, n) in enumerate(files)]
     df = spark.createDataFrame(rows, SPEC)
     if strategy:
