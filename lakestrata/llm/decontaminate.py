@@ -6,14 +6,15 @@ if all its words stand there in order, so all its shingles do: at containment 1
 the necessary prefix of a window, its shingles ordered by rarity, is the rarest
 one alone.
 
-1. One scan of the documents keeps the places of benchmark shingles, each with
-   the few words around it, and a header for each document. The shingles are a
-   stated query set, broadcast in blocks of bounded size.
-2. Their counts over all documents order the shingles of every window; the
-   rarest is its prefix.
-3. Places are joined with prefixes. The window's place follows from the
-   shingle's; it must lie in the document (position and length bound), and its
-   words must equal the words there.
+1. One scan of the documents counts the benchmark's shingles over the whole
+   corpus. The shingles are a stated query set, broadcast in blocks of bounded
+   size. The counts order the shingles of every window; a window of which one
+   shingle stands nowhere is out, of the others the rarest is the prefix.
+2. A second scan joins the documents with the prefixes alone: it keeps the
+   places of prefix shingles, each with the few words around it, and a header
+   for each document.
+3. The window's place follows from the shingle's; it must lie in the document
+   (position and length bound), and its words must equal the words there.
 4. Occurrences of a document are merged to hit words and items.
 
 Defined results: null texts and texts without words have n_words = 0 and no
@@ -30,13 +31,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import scratch, written
 
 WIDTH = 13
 SHINGLE = 5
-#: Rows of a broadcast table: shingle keys (8 bytes), windows (their words).
+#: Broadcast tables: rows of 8-byte shingle keys, and bytes of windows.
 KEYS_AT_ONCE = 1_000_000
-WINDOWS_AT_ONCE = 30_000
+WINDOW_BYTES = 32 << 20
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _HEADER = 0  # the key of a document's header
 
@@ -54,24 +55,42 @@ def _key(w: Column, at: Column, size: int) -> Column:
 
 
 def windows(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Distinct windows: words, length and the item ids (as strings) that hold them."""
+    """Distinct windows: words, length, a 128-bit name (w1, w2) and the item ids
+    (as strings) that hold them."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col).cast("string")).alias("w")).where("size(w) > 0")
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0)))
     each = items.select("item", "w", F.explode(starts).alias("s")).select("item", F.slice("w", F.col("s") + 1, width).alias("words"))
-    return each.groupBy("words").agg(F.collect_set("item").alias("items")).withColumn("length", F.size("words"))
+    found = each.groupBy("words").agg(F.collect_set("item").alias("items"))
+    return found.select("*", F.size("words").alias("length"), F.xxhash64("words").alias("w1"), F.xxhash64(F.lit(1), "words").alias("w2"))
 
 
 def _shingles(found: DataFrame, shingle: int, sizes: list[int]) -> DataFrame:
-    """(window, length, key, offset) for the first place of every shingle in a window."""
+    """(window, key, offset) for the first place of every shingle in a window."""
     parts = []
     for size in sizes:
         of_size = found.where(F.least("length", F.lit(shingle)) == size)
-        at = of_size.select("words", "length", F.explode(F.sequence(F.lit(0), F.col("length") - size)).alias("offset"))
-        parts.append(at.select("words", "length", _key(F.col("words"), F.col("offset"), size).alias("key"), "offset"))
-    return reduce(DataFrame.union, parts).groupBy("words", "length", "key").agg(F.min("offset").alias("offset"))
+        at = of_size.select("w1", "w2", "words", F.explode(F.sequence(F.lit(0), F.col("length") - size)).alias("offset"))
+        parts.append(at.select("w1", "w2", _key(F.col("words"), F.col("offset"), size).alias("key"), "offset"))
+    return reduce(DataFrame.union, parts).groupBy("w1", "w2", "key").agg(F.min("offset").alias("offset"))
 
 
-def _places(docs: DataFrame, keys: DataFrame, width: int, shingle: int, sizes: list[int], headers: bool) -> DataFrame:
+def _blocks(keys: DataFrame, n: int) -> list[DataFrame]:
+    """Keys in blocks that may be broadcast; n: how many there are at most."""
+    blocks = -(-max(n, 1) // KEYS_AT_ONCE)
+    return [keys.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b) for b in range(blocks)]
+
+
+def _counts(docs: DataFrame, keys: DataFrame, sizes: list[int]) -> DataFrame:
+    """How often each of the keys stands in the documents; keys that never do
+    have no row. Counted before any shuffle."""
+    split = docs.select(words(F.col("_text")).alias("w"))
+    each = split.select("w", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
+    made = [F.when(F.col("pos") + size <= F.col("n"), _key(F.col("w"), F.col("pos"), size)) for size in sizes]
+    each = each.select(made[0].alias("key")) if len(made) == 1 else each.select(F.explode(F.array(*made)).alias("key"))
+    return each.join(F.broadcast(keys), "key").groupBy("key").agg(F.count(F.lit(1)).alias("seen"))
+
+
+def _places(docs: DataFrame, keys: DataFrame, width: int, sizes: list[int], headers: bool) -> DataFrame:
     """Places in documents that hold one of the keys; a header for each document."""
     w, at, n = F.col("w"), F.col("pos"), F.col("n")
     split = docs.select("k1", "k2", "_id", words(F.col("_text")).alias("w")).withColumn("n", F.size("w"))
@@ -93,32 +112,33 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     docs = docs.select("*", F.xxhash64("_id", "_text").alias("k1"), F.xxhash64(F.lit(1), "_text", "_id").alias("k2"))
 
-    found = written(windows(benchmark, item_col, item_text_col, width), "windows")
-    stated = found.agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest(F.col("length") - shingle + 1, F.lit(1))).alias("keys"), F.collect_set(F.least("length", F.lit(shingle))).alias("sizes")).first()
-    sizes = sorted(stated.sizes, reverse=True) or [shingle]
-    shingles = written(_shingles(found, shingle, sizes), "shingles")
-    keys = shingles.select("key").distinct()
-    blocks = -(-max(int(stated["keys"] or 0), 1) // KEYS_AT_ONCE)
-    header = df.sparkSession.range(1).select(F.lit(_HEADER).cast("long").alias("key"))
-    scans = []
-    for b in range(blocks):
-        block = keys.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b)
-        scans.append(_places(docs, block.union(header) if b == 0 else block, width, shingle, sizes, b == 0))
-    places = written(reduce(DataFrame.union, scans), "places")
-
-    counts = places.groupBy("key").agg(F.count(F.lit(1)).alias("seen"))
-    rarest = F.min_by(F.struct("key", "offset"), F.struct("seen", "key")).alias("p")
-    prefixes = shingles.join(counts, "key").groupBy("words", "length").agg(rarest, F.count(F.lit(1)).alias("met"), F.max("offset").alias("last"))
-    prefixes = written(prefixes.select("words", "length", "p.key", "p.offset").join(found.select("words", "items"), "words"), "prefixes")
-    prefixes = F.broadcast(prefixes) if stated.n <= WINDOWS_AT_ONCE else prefixes
+    with scratch(df.sparkSession):
+        found = written(windows(benchmark, item_col, item_text_col, width), "windows", keep=True)
+        stated = found.agg(F.sum(F.greatest(F.col("length") - shingle + 1, F.lit(1))).alias("keys"), F.collect_set(F.least("length", F.lit(shingle))).alias("sizes")).first()
+        sizes = sorted(stated.sizes, reverse=True) or [shingle]
+        shingles = written(_shingles(found, shingle, sizes), "shingles")
+        counts = written(reduce(DataFrame.union, [_counts(docs, b, sizes) for b in _blocks(shingles.select("key").distinct(), int(stated["keys"] or 0))]), "counts")
+
+        rarest = F.min_by(F.struct("key", "offset"), F.struct("seen", "key")).alias("p")
+        ranked = shingles.join(counts, "key", "left").groupBy("w1", "w2").agg(rarest, F.count(F.lit(1)).alias("all"), F.count("seen").alias("met")).where("met = all")
+        prefixes = ranked.join(found, ["w1", "w2"]).select("w1", "w2", "words", "length", "p.key", "p.offset")
+        prefixes = written(prefixes, "prefixes", keep=True)
+        size = prefixes.agg(F.countDistinct("key").alias("keys"), F.sum(F.aggregate("words", F.lit(64), lambda n, x: n + 16 + F.octet_length(x))).alias("bytes")).first()
+
+        header = df.sparkSession.range(1).select(F.lit(_HEADER).cast("long").alias("key"))
+        blocks = _blocks(prefixes.select("key").distinct(), size["keys"])
+        scans = [_places(docs, block.union(header) if b == 0 else block, width, sizes, b == 0) for b, block in enumerate(blocks)]
+        places = written(reduce(DataFrame.union, scans), "places", keep=True)
+    prefixes = F.broadcast(prefixes) if (size["bytes"] or 0) <= WINDOW_BYTES else prefixes
 
     start = F.col("pos") - F.col("offset")
     met = places.where(F.col("key") != _HEADER).join(prefixes, "key").withColumn("start", start)
     met = met.where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n")))
     met = met.where(F.slice("context", F.col("start") - F.col("first") + 1, F.col("length")) == F.col("words"))
+    hit = met.select("k1", "k2", "start", (F.col("start") + F.col("length")).alias("end"), "w1", "w2")
+    hit = hit.join(found.select("w1", "w2", "items"), ["w1", "w2"])
     by_start = Window.partitionBy("k1", "k2").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    end = F.col("start") + F.col("length")
-    hit = met.select("k1", "k2", "start", end.alias("end"), "items").withColumn("reached", F.coalesce(F.max("end").over(by_start), F.lit(0)))
+    hit = hit.withColumn("reached", F.coalesce(F.max("end").over(by_start), F.lit(0)))
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", "reached"))
     hits = hit.groupBy("k1", "k2").agg(F.sum(fresh).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 

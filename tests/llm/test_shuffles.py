@@ -94,7 +94,7 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     _, bench = _benchmark(spark)
     whole = sorted(map(tuple, decontaminate.contamination(cases.documents(spark), bench).drop("k1", "k2").collect()))
     monkeypatch.setattr(decontaminate, "KEYS_AT_ONCE", 5)
-    monkeypatch.setattr(decontaminate, "WINDOWS_AT_ONCE", 1)
+    monkeypatch.setattr(decontaminate, "WINDOW_BYTES", 1)
     assert sorted(map(tuple, decontaminate.contamination(cases.documents(spark), bench).drop("k1", "k2").collect())) == whole
 
 
