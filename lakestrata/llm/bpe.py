@@ -28,19 +28,22 @@ import hashlib
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
 
 #: Entries of the largest memo, in each of two generations; with those beside it
-#: at most about 50 MB, and only while a task runs.
-MEMO_LIMIT = 100_000
+#: at most about 100 MB. It lives until another operator runs in the worker.
+MEMO_LIMIT = 200_000
+#: Bytes of the texts that are encoded together.
+PIECE = 8 << 20
 #: Transitions kept, about 20 MB.
 ARCS_KEPT = 200_000
 
@@ -185,8 +188,11 @@ class Codec:
         parts = self._special.split(text)
         return b"".join(np.array([self.specials[p]], "<u4").tobytes() if p in self.specials else encode_chunks(p, self._chunks) for p in parts if p)
 
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        return encode_many(texts, self._chunks, self.encode, lambda t: any(s in t for s in self.specials))
+
     def forget(self) -> None:
-        """Gives the memory of all memos back; called at the end of a task."""
+        """Gives the memory of all memos back."""
         self._chunks.forget()
 
     def decode(self, ids: bytes) -> str:
@@ -199,7 +205,7 @@ class Memo(dict):
     the old one, and what is asked for again moves back. So the frequent
     entries stay and memory has a bound."""
 
-    def __init__(self, make, limit: int = MEMO_LIMIT):
+    def __init__(self, make, limit: int):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
@@ -218,14 +224,14 @@ class Memo(dict):
 class Chunks:
     """Encodings of chunks, `bare` or with the `spaced` that stands before them."""
 
-    def __init__(self, pieces, word):
-        self.pieces, self.word = pieces, word
+    def __init__(self, pieces, word, limit: int = MEMO_LIMIT):
+        self.pieces, self.word, self.limit = pieces, word, limit
         self.forget()
 
     def forget(self) -> None:
-        self.piece = Memo(self.word, MEMO_LIMIT // 4)
-        self.bare = Memo(lambda chunk: self._make("", chunk), MEMO_LIMIT // 4)
-        self.spaced = Memo(lambda chunk: self._make(" ", chunk))
+        self.piece = Memo(self.word, self.limit // 4)
+        self.bare = Memo(lambda chunk: self._make("", chunk), self.limit // 4)
+        self.spaced = Memo(lambda chunk: self._make(" ", chunk), self.limit)
 
     def _make(self, lead: str, chunk: str) -> bytes:
         if chunk.isalpha() and max(chunk) < "\u0250":  # Latin letters are one piece
@@ -263,6 +269,38 @@ def encode_chunks(text: str, chunks: Chunks) -> bytes:
     return b"".join(out)
 
 
+#: Stands before a chunk that no space stands before; texts that hold it are
+#: encoded by themselves.
+_BARE = "\x01"
+
+
+def encode_many(texts: list[str | None], chunks: Chunks, alone: Callable[[str], bytes], odd: Callable[[str], bool]) -> list[bytes]:
+    """Encodes texts together: their chunks are numbered, each different one is
+    looked up once, and the encodings are joined by number. Texts with loose white
+    space, or for which odd() holds, go through alone()."""
+    out: list[bytes] = [b""] * len(texts)
+    plain = []
+    for i, t in enumerate(texts):
+        if not t:
+            continue
+        if _BARE in t or odd(t) or _LOOSE_SPACE.search(t) or _LOOSE_FEED.search(t):
+            out[i] = alone(t)
+        else:
+            plain.append(i)
+    if not plain:
+        return out
+    marked = pa.array([_BARE + texts[i] for i in plain], pa.large_string())
+    parts = pc.split_pattern(pc.replace_substring(marked, "\n", f" \n {_BARE}"), " ")
+    numbered = parts.values.dictionary_encode()
+    bare, spaced = chunks.bare, chunks.spaced
+    made = [spaced[c] if c[:1] not in ("\n", _BARE) else bare[c] if c == "\n" else bare[c[1:]] for c in numbered.dictionary.to_pylist()]
+    number = numbered.indices.to_numpy()
+    edges = parts.offsets.to_numpy()
+    for i, a, b in zip(plain, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        out[i] = b"".join([made[k] for k in number[a:b].tolist()])
+    return out
+
+
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     """Compiled once for each worker."""
@@ -277,10 +315,10 @@ def encode(df: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id",
 
     def run(texts: list[str | None]) -> dict[str, list]:
         c = codec(tokenizer, pattern)
-        ids = [c.encode(t or "") for t in texts]
+        ids = c.encode_many(texts)
         return {"n_tokens": [len(x) // 4 for x in ids], "ids": ids}
 
-    return T.map_texts(df, id_col, text_col, id_col, "n_tokens long, ids binary", run, keep_text, lambda: codec(tokenizer, pattern).forget())
+    return T.map_texts(df, id_col, text_col, id_col, "n_tokens long, ids binary", run, keep_text, lambda: codec(tokenizer, pattern).forget(), PIECE)
 
 
 def decode(df: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -307,12 +345,11 @@ def digests(df: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id",
     def run(texts: list[str | None]) -> dict[str, list]:
         c = codec(tokenizer, pattern)
         out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
-        for t in texts:
-            ids = c.encode(t or "")
+        for ids in c.encode_many(texts):
             out["n_tokens"].append(len(ids) // 4)
             out["ids"].append(ids if with_ids else None)
             out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(c.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
         return out
 
-    return T.map_texts(df, id_col, text_col, id_col, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else ""), run, done=lambda: codec(tokenizer, pattern).forget())
+    return T.map_texts(df, id_col, text_col, id_col, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else ""), run, forget=lambda: codec(tokenizer, pattern).forget(), piece=PIECE)

@@ -307,11 +307,11 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The rows are numbered once, in a written table, so that the numbers hold
     when a lost task runs again."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    rows = written(df.select(row.alias("_row"), F.monotonically_increasing_id().alias("_n")), "numbered", keep=True)
+    rows = written(df.select(row.alias("_row"), F.monotonically_increasing_id().alias("_n")), "numbered")
     docs = rows.select(F.col("_n").alias("_id"), F.col(f"_row.`{text_col}`").cast("string").alias("_text"))
     groups = _groups(docs, size, percent).where("component is not null").select(F.col("id").alias("_n"), "component")
     ids = rows.select("_n", F.col(f"_row.`{id_col}`").alias("_id"))
     members = groups.join(ids, "_n")  # by row numbers: a large group is spread
     least = members.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_n")).alias("least")).select(F.col("least._n").alias("_n"))
-    gone = written(members.select("_n").join(least, "_n", "left_anti"), "gone", keep=True)
+    gone = written(members.select("_n").join(least, "_n", "left_anti"), "gone")
     return rows.join(gone, "_n", "left_anti").select("_row.*")

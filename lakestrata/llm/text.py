@@ -46,12 +46,12 @@ def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]]:
+def _pieces(batch: pa.RecordBatch, most: int = PIECE_BYTES) -> Iterator[tuple[pa.Array, list[str | None]]]:
     texts = batch.column("_text")
     sizes = np.diff(np.frombuffer(texts.cast(pa.large_string()).buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else np.zeros(0, np.int64)
     begin, held = 0, 0
     for i, n in enumerate(sizes):
-        if i > begin and held + n > PIECE_BYTES:
+        if i > begin and held + n > most:
             yield batch.column("_id")[begin:i], texts[begin:i].to_pylist()
             begin, held = i, 0
         held += int(n)
@@ -59,18 +59,32 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]
         yield batch.column("_id")[begin:], texts[begin:].to_pylist()
 
 
+#: Whose memos the worker holds, and how they are given back.
+_held: list = ["", None]
+
+
+def claim(name: str, forget: Callable[[], None] | None = None) -> None:
+    """Called where a task begins: memos of another operator go, those of the
+    same one stay for the worker's next task."""
+    if _held[0] != name:
+        if _held[1]:
+            _held[1]()
+        _held[:] = [name, forget]
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of a DDL string; call it on the driver."""
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def map_texts(df: DataFrame, id_col: str, text_col: str, out_id: str, columns: str, fn: Callable[[list[str | None]], dict], keep_text: str | None = None, done: Callable[[], None] | None = None) -> DataFrame:
+def map_texts(df: DataFrame, id_col: str, text_col: str, out_id: str, columns: str, fn: Callable[[list[str | None]], dict], keep_text: str | None = None, forget: Callable[[], None] | None = None, piece: int = PIECE_BYTES) -> DataFrame:
     """One output row for each input row, without a shuffle.
 
     fn gets a list of texts (None for null) and returns a list or array for
     each of `columns` (a DDL string). keep_text names a column that carries
-    the text through; done is called at the end of every task, whose worker
-    goes on to others.
+    the text through; forget gives back what fn keeps between tasks, once the
+    worker goes on to another operator; piece is how many bytes of texts fn gets
+    at most (a longer text comes alone).
     """
     id_type = df.schema[id_col].dataType.simpleString()
     schema = f"`{out_id}` {id_type}" + (f", `{keep_text}` string" if keep_text else "") + f", {columns}"
@@ -78,22 +92,19 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, out_id: str, columns: s
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            for batch in batches:
-                for ids, texts in _pieces(batch):
-                    made = fn(texts)
-                    arrays = []
-                    for field in out:
-                        if field.name == out_id:
-                            arrays.append(ids.cast(field.type))
-                        elif keep_text and field.name == keep_text:
-                            arrays.append(pa.array(texts, field.type))
-                        else:
-                            arrays.append(pa.array(made[field.name], field.type))
-                    yield pa.RecordBatch.from_arrays(arrays, schema=out)
-        finally:
-            if done:
-                done()
+        claim(columns if forget else "", forget)
+        for batch in batches:
+            for ids, texts in _pieces(batch, piece):
+                made = fn(texts)
+                arrays = []
+                for field in out:
+                    if field.name == out_id:
+                        arrays.append(ids.cast(field.type))
+                    elif keep_text and field.name == keep_text:
+                        arrays.append(pa.array(texts, field.type))
+                    else:
+                        arrays.append(pa.array(made[field.name], field.type))
+                yield pa.RecordBatch.from_arrays(arrays, schema=out)
 
     return two_columns(df, id_col, text_col).mapInArrow(run, schema)
 
@@ -205,6 +216,7 @@ def flat_map_texts(df: DataFrame, keys: list[str], columns: str, fn: Callable[[l
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("")
         for batch in batches:
             at = 0
             for ids, texts in _pieces(batch):

@@ -40,12 +40,16 @@ from pyspark.sql import functions as F
 
 from ..plans.running import running_sums
 from . import text as T
-from .bpe import Chunks, byte_letters, encode_chunks
+from .bpe import Chunks, byte_letters, encode_chunks, encode_many
 from .shared import new_dir, partitions_for
 
 MAGIC = b"DACTOK01"
 GROUP = 512  # bits for each entry of a rank directory
 FILE_TOKENS = 1 << 22
+#: Entries of the largest memo in each of two generations (about 180 MB with those
+#: beside it), and bytes of the texts that are encoded together.
+MEMO_LIMIT = 400_000
+PIECE = 16 << 20
 _HEAD = struct.Struct("<8sQQQ")
 
 
@@ -161,7 +165,7 @@ class LibraryEncoder:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
         self._space = self._letters[0x20]
-        self._chunks = Chunks(regex.compile(pattern).findall, self._word)
+        self._chunks = Chunks(regex.compile(pattern).findall, self._word, MEMO_LIMIT)
 
     def _word(self, piece: str) -> bytes:
         if piece.isascii() and piece.isprintable():
@@ -170,8 +174,11 @@ class LibraryEncoder:
             spelled = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._letters)
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        return encode_many(texts, self._chunks, self.encode, lambda t: any(s in t for s in self.specials))
+
     def forget(self) -> None:
-        """Gives the memory of all memos back; called at the end of a task."""
+        """Gives the memory of all memos back."""
         self._chunks.forget()
 
     def encode(self, text: str) -> bytes:
@@ -228,19 +235,17 @@ def write_store(df: DataFrame, tokenizer: str, pattern: str, end_id: int, id_col
             row = (part, segment, f"{files}/{name}", len(held), int(counts.sum()), len(data))
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, out, strict=True)], schema=out)
 
-        try:
-            for batch in batches:
-                for ids, texts in T._pieces(batch):
-                    for d, t in zip(ids.to_pylist(), texts, strict=True):
-                        held.append((d, enc.encode(t or "") + end))
-                        size += len(held[-1][1]) // 4
-                        if size >= FILE_TOKENS:
-                            yield flush()
-                            held, size, segment = [], 0, segment + 1
-            if held:
-                yield flush()
-        finally:
-            enc.forget()
+        T.claim("token store", enc.forget)
+        for batch in batches:
+            for ids, texts in T._pieces(batch, PIECE):
+                for d, x in zip(ids.to_pylist(), enc.encode_many(texts), strict=True):
+                    held.append((d, x + end))
+                    size += len(held[-1][1]) // 4
+                    if size >= FILE_TOKENS:
+                        yield flush()
+                        held, size, segment = [], 0, segment + 1
+        if held:
+            yield flush()
 
     docs = T.two_columns(df, id_col, text_col)
     docs = docs.withColumn("_id", F.col("_id").cast("long")).withColumn("_tie", F.xxhash64("_text"))
