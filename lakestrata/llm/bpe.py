@@ -158,7 +158,7 @@ class Automaton:
 class Codec:
     """A byte-level BPE tokenizer file: splitting, automaton, special tokens."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, memo: int = MEMO_LIMIT):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -179,7 +179,7 @@ class Codec:
             self.emit[i] = token.encode()
         self.specials = specials
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
-        self._chunks = Chunks(regex.compile(pattern).findall, lambda w: array("I", self.automaton.walk(w.encode("utf-8", "surrogatepass"))).tobytes())
+        self._chunks = Chunks(regex.compile(pattern).findall, lambda w: array("I", self.automaton.walk(w.encode("utf-8", "surrogatepass"))).tobytes(), memo)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -302,9 +302,9 @@ def encode_many(texts: list[str | None], chunks: Chunks, alone: Callable[[str],
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, memo: int = MEMO_LIMIT) -> Codec:
     """Compiled once for each worker."""
-    return Codec(path, pattern)
+    return Codec(path, pattern, memo)
 
 
 def encode(df: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_text: str | None = None) -> DataFrame:
@@ -338,12 +338,14 @@ def decode(df: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id",
     return df.select(F.col(id_col).alias("_id"), F.col(ids_col).alias("_ids")).mapInArrow(run, ddl)
 
 
-def digests(df: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def digests(df: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, memo: int = MEMO_LIMIT, piece: int = PIECE, keep: bool = True) -> DataFrame:
     """n_tokens and SHA-256 of the ids and of the text decoded from them, and
-    the ids if asked for. Both directions run in one pass over the batch."""
+    the ids if asked for. Both directions run in one pass over the batch. memo
+    (entries), piece (bytes encoded together) and keep (the memo, for a worker's
+    next task) trade memory for time."""
 
     def run(texts: list[str | None]) -> dict[str, list]:
-        c = codec(tokenizer, pattern)
+        c = codec(tokenizer, pattern, memo)
         out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
         for ids in c.encode_many(texts):
             out["n_tokens"].append(len(ids) // 4)
@@ -352,4 +354,4 @@ def digests(df: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id",
             out["decoded_sha256"].append(hashlib.sha256(c.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
         return out
 
-    return T.map_texts(df, id_col, text_col, id_col, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else ""), run, forget=lambda: codec(tokenizer, pattern).forget(), piece=PIECE)
+    return T.map_texts(df, id_col, text_col, id_col, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else ""), run, forget=lambda: codec(tokenizer, pattern, memo).forget(), piece=piece, keep=keep)

@@ -139,6 +139,7 @@ def _by_signature(pairs: DataFrame, feature: DataFrame, percent: int) -> DataFra
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BANDS * ROWS) for c in ("sig_a", "sig_b"))
             near = pa.array((x == y).mean(axis=1) >= need)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], schema=out)
+        T.tidy()
 
     return joined.mapInArrow(run, "a long, b long").distinct()
 
@@ -151,8 +152,9 @@ def _by_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = pa.array([_similar(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), percent) for x, y in zip(batch.column("items_a"), batch.column("items_b"), strict=True)], pa.bool_())
+            good = pa.array([_similar(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent) for x, y in zip(batch.column("items_a"), batch.column("items_b"), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], schema=out)
+        T.tidy()
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
 

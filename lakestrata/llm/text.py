@@ -8,6 +8,7 @@ so the memory of a worker follows the longest text, not the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 PIECE_BYTES = 1 << 20
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library: nothing to do
+    _LIBC = None
 
 #: ASCII white space that separates plain words: \x20 and \x09-\x0D.
 _BLANK = bytes([0x20, *range(0x09, 0x0E)])
@@ -63,6 +69,14 @@ def _pieces(batch: pa.RecordBatch, most: int = PIECE_BYTES) -> Iterator[tuple[pa
 _held: list = ["", None]
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system; called where a task ends, as the
+    worker stays for others."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def claim(name: str, forget: Callable[[], None] | None = None) -> None:
     """Called where a task begins: memos of another operator go, those of the
     same one stay for the worker's next task."""
@@ -77,14 +91,14 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def map_texts(df: DataFrame, id_col: str, text_col: str, out_id: str, columns: str, fn: Callable[[list[str | None]], dict], keep_text: str | None = None, forget: Callable[[], None] | None = None, piece: int = PIECE_BYTES) -> DataFrame:
+def map_texts(df: DataFrame, id_col: str, text_col: str, out_id: str, columns: str, fn: Callable[[list[str | None]], dict], keep_text: str | None = None, forget: Callable[[], None] | None = None, piece: int = PIECE_BYTES, keep: bool = True) -> DataFrame:
     """One output row for each input row, without a shuffle.
 
     fn gets a list of texts (None for null) and returns a list or array for
     each of `columns` (a DDL string). keep_text names a column that carries
     the text through; forget gives back what fn keeps between tasks, once the
-    worker goes on to another operator; piece is how many bytes of texts fn gets
-    at most (a longer text comes alone).
+    worker goes on to another operator, or at the end of every task (keep=False);
+    piece is how many bytes of texts fn gets at most (a longer text comes alone).
     """
     id_type = df.schema[id_col].dataType.simpleString()
     schema = f"`{out_id}` {id_type}" + (f", `{keep_text}` string" if keep_text else "") + f", {columns}"
@@ -93,18 +107,23 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, out_id: str, columns: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(columns if forget else "", forget)
-        for batch in batches:
-            for ids, texts in _pieces(batch, piece):
-                made = fn(texts)
-                arrays = []
-                for field in out:
-                    if field.name == out_id:
-                        arrays.append(ids.cast(field.type))
-                    elif keep_text and field.name == keep_text:
-                        arrays.append(pa.array(texts, field.type))
-                    else:
-                        arrays.append(pa.array(made[field.name], field.type))
-                yield pa.RecordBatch.from_arrays(arrays, schema=out)
+        try:
+            for batch in batches:
+                for ids, texts in _pieces(batch, piece):
+                    made = fn(texts)
+                    arrays = []
+                    for field in out:
+                        if field.name == out_id:
+                            arrays.append(ids.cast(field.type))
+                        elif keep_text and field.name == keep_text:
+                            arrays.append(pa.array(texts, field.type))
+                        else:
+                            arrays.append(pa.array(made[field.name], field.type))
+                    yield pa.RecordBatch.from_arrays(arrays, schema=out)
+        finally:
+            if not keep:
+                claim("")
+            tidy()
 
     return two_columns(df, id_col, text_col).mapInArrow(run, schema)
 
@@ -225,5 +244,6 @@ def flat_map_texts(df: DataFrame, keys: list[str], columns: str, fn: Callable[[l
                 take = pa.array(row, pa.int64())
                 arrays = [part.column(k).take(take) for k in keys] + [pa.array(made[f.name], f.type) for f in list(out)[len(keys) :]]
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, out, strict=True)], schema=out)
+        tidy()
 
     return df.mapInArrow(run, schema)

@@ -246,6 +246,8 @@ def write_store(df: DataFrame, tokenizer: str, pattern: str, end_id: int, id_col
                         held, size, segment = [], 0, segment + 1
         if held:
             yield flush()
+        held = []
+        T.tidy()
 
     docs = T.two_columns(df, id_col, text_col)
     docs = docs.withColumn("_id", F.col("_id").cast("long")).withColumn("_tie", F.xxhash64("_text"))
