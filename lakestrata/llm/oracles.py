@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .license_scan import BASE_PHRASES
 from .quality import BASE, RULES, V2
+from .secret_scan import ASSIGN
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLDED = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
@@ -66,4 +68,39 @@ SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_remove
 FROM t LEFT JOIN n ON t.doc_id = n.doc_id LEFT JOIN kept ON t.doc_id = kept.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_decontaminate": op2, "op8_near_duplicates": op8, "op9_quality_rules": op9, "op10_substring_dedup": op10}
+_bits = lambda rule: 1 << list(RULES).index(rule)
+
+quality_ablations = op9.replace("SELECT doc_id, n_words, word_chars", ", masks AS (SELECT doc_id, n_words, word_chars").rstrip() + f"), policy AS (SELECT fail_mask & {V2.mask} AS m FROM masks)\n" + "\nUNION ALL ".join(
+    f"SELECT '{rule}' AS rule, count(*) FILTER (WHERE m & {_bits(rule)} <> 0) AS n_failed, count(*) FILTER (WHERE m = {_bits(rule)}) AS n_only, count(*) FILTER (WHERE m = 0) AS n_kept, '{V2.version}' AS policy FROM policy" for rule in V2.rule_names
+)
+
+_phrases = ", ".join(f"({[*phrase.split()]}, '{label}')" for phrase, label in BASE_PHRASES.items())
+
+license_base = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, {_LETTERS}) AS w FROM documents),
+p(words, label) AS (VALUES {_phrases}),
+hits AS (SELECT doc_id, label, i FROM (SELECT doc_id, label, words, w, unnest(range(0, len(w) - len(words) + 1)) AS i FROM d, p WHERE len(w) >= len(words)) WHERE w[i + 1:i + len(words)] = words)
+SELECT d.doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_words, count(i) AS n_base, min(i) AS first_word, max(i) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM d LEFT JOIN hits ON d.doc_id = hits.doc_id GROUP BY d.doc_id
+"""
+
+_quoted = lambda pattern: pattern.replace("'", "''")
+
+secret_base = rf"""
+SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '{_quoted(ASSIGN.pattern)}', 2), lambda x: length(x) >= 6)) AS n_assign,
+       len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex
+FROM documents
+"""
+
+#: CRC-32 byte by byte over a table made from the reflected polynomial 0xEDB88320.
+shard_facts = """
+WITH t AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))
+SELECT doc_id, strlen(text) + 8 AS size, true AS gapless, true AS even,
+       xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(text)), lambda i: ('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2))::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+FROM (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents), t
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": op2, "op8_near_duplicates": op8, "op9_quality_rules": op9, "op10_substring_dedup": op10,
+    "quality_ablations": quality_ablations, "license_base": license_base, "secret_base": secret_base, "shard_facts": shard_facts,
+}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .oracles import ORACLE_SQL
+from .shared import written
 
 
 def tokenizer(name: str) -> tuple[str, str]:
@@ -84,6 +85,37 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.find_repeats(_documents(spark, sf_dir), length=35).drop("repeats")
 
 
+# Parts of the above that SQL can tell, each against its twin.
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.ablations(quality.rule_ledger(_documents(spark, sf_dir)), quality.V2)
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def shard_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and checksums, and of each document's shard that its slots are
+    gapless from 0 and its bytes within the law."""
+    from . import shard
+
+    out = written(op6_shard(spark, sf_dir), "shards")
+    of_all = out.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"), F.coalesce(F.max("size"), F.lit(0)).alias("largest")).first()
+    share = of_all.total / shard.SHARDS
+    slots = (F.min("slot") == 0) & (F.max("slot") == F.count(F.lit(1)) - 1) & (F.countDistinct("slot") == F.count(F.lit(1)))
+    even = F.abs(F.sum("size") - share) <= of_all.largest + 2 * shard.TOLERANCE * share + 1
+    told = out.groupBy("shard").agg(slots.alias("gapless"), even.alias("even"))
+    return out.join(told, "shard").select("doc_id", "size", "text_crc32", "gapless", "even")
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "tokenizer"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -97,6 +129,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
+    "quality_ablations": quality_ablations,
+    "license_base": license_base,
+    "secret_base": secret_base,
+    "shard_facts": shard_facts,
 }
 
 
