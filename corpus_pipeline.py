@@ -41,8 +41,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of them and of what they decode to."""
-    return bpe.digests(docs, *tokenizer("byte_bpe_50k.json"), with_ids=True)
+    """Token ids of each document, with digests of them and of what they decode to.
+    A small memo, given back by every task: workers go on to other stages."""
+    return bpe.digests(docs, *tokenizer("byte_bpe_50k.json"), with_ids=True, memo=60_000, piece=1 << 20, keep=False)
 
 
 STAGES: list[tuple[str, Stage]] = [
