@@ -7,12 +7,13 @@ batches. Everything visible is derived from the log; nothing is updated.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.running import running_sums
+from ..plans.running import before, running_max, running_sums
 
 DATA_OPS = ("put", "delete")
+BYTES_STEP = 1 << 28  # a step of an order by byte offsets
 
 
 def committed(log: DataFrame) -> DataFrame:
@@ -107,12 +108,13 @@ def free_tails(holes_: DataFrame, placed: DataFrame) -> DataFrame:
 
 def merge_intervals(blocks: DataFrame) -> DataFrame:
     """Touching or overlapping blocks (shard, offset, size) merged."""
-    order = Window.partitionBy("shard").orderBy("offset", "size")
-    reach = F.max(F.col("offset") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    first = blocks.withColumn("_new", F.when(reach.isNull() | (F.col("offset") > reach), 1).otherwise(0))
-    named = first.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = blocks.groupBy("shard", "offset").agg(F.max("size").alias("size"))
+    seen = running_max(blocks, ["shard"], "offset", F.col("offset") + F.col("size"), "_reach", BYTES_STEP)
+    opens = F.when(F.col("_reach").isNull() | (F.col("offset") > F.col("_reach")), 1).otherwise(0)
+    named = running_sums(seen.withColumn("_new", opens), ["shard"], "offset", {"_before": F.col("_new")}, BYTES_STEP)
     end = F.max(F.col("offset") + F.col("size"))
-    return named.groupBy("shard", "_island").agg(F.min("offset").alias("offset"), (end - F.min("offset")).alias("size")).drop("_island")
+    merged = named.groupBy("shard", (F.col("_before") + F.col("_new")).alias("_island")).agg(F.min("offset").alias("offset"), (end - F.min("offset")).alias("size"))
+    return merged.drop("_island")
 
 
 # ------------------------------------------------------------- verification
@@ -137,10 +139,13 @@ def verify(records: DataFrame, index: DataFrame, known: DataFrame, free: DataFra
         issue(index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("shard").alias("shard"), F.min("offset").alias("offset")).where("n > 1"), "duplicate_key"),
     ]
     used = intact.join(index, ["shard", "offset", "key"], "left_anti").join(known.select("key").distinct(), "key", "left_anti")
-    in_free = free.select(F.col("shard").alias("_s"), F.col("offset").alias("_o"), F.col("size").alias("_n"))
-    orphans = used.join(in_free, (F.col("shard") == F.col("_s")) & (F.col("offset") >= F.col("_o")) & (F.col("offset") < F.col("_o") + F.col("_n")), "left_anti")
-    found.append(issue(orphans, "orphan_record"))
-    overlap = free.withColumn("_end", F.max(F.col("offset") + F.col("size")).over(Window.partitionBy("shard").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)))
+    # Holes and records meet in the order of their offsets: a record lies in a
+    # hole if one that begins at or before it reaches beyond it.
+    places = free.select("shard", (F.col("offset") * 2).alias("_at"), (F.col("offset") + F.col("size")).alias("_end"), F.lit(None).cast("long").alias("offset"), F.lit(None).cast(used.schema["key"].dataType).alias("key"))
+    places = places.unionByName(used.select("shard", (F.col("offset") * 2 + 1).alias("_at"), F.lit(None).cast("long").alias("_end"), F.col("offset").cast("long").alias("offset"), "key"))
+    met = running_max(places, ["shard"], "_at", F.col("_end"), "_reach", 2 * BYTES_STEP)
+    found.append(issue(met.where("offset is not null and (_reach is null or offset >= _reach)"), "orphan_record"))
+    overlap = running_max(free, ["shard"], "offset", F.col("offset") + F.col("size"), "_end", BYTES_STEP)
     found.append(issue(overlap.where("offset < _end or size <= 0").withColumn("key", F.lit(None).cast(records.schema["key"].dataType)), "invalid_region"))
     out = found[0]
     for f in found[1:]:
@@ -151,5 +156,4 @@ def verify(records: DataFrame, index: DataFrame, known: DataFrame, free: DataFra
 def verify_order(index: DataFrame) -> DataFrame:
     """Rows of a sorted index (bucket, position, key) that break its order: a
     key not above the one before it in its bucket."""
-    before = F.lag("key").over(Window.partitionBy("bucket").orderBy("position"))
-    return index.withColumn("_before", before).where("_before is not null and key <= _before").drop("_before")
+    return before(index, ["bucket"], "position", "key", "_before").where("_before is not null and key <= _before").drop("_before")

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -150,8 +149,8 @@ def page_facts(pages: DataFrame) -> DataFrame:
                         bad.append(_PLACEHOLDER | (_PAYLOAD_OF_NONE if payload[i] is not None else 0))
                     else:
                         bad.append(_UNKNOWN)
-                pages_only = pa.array([k != "page" for k in kinds], pa.bool_())
-                told = [pc.if_else(pages_only, pa.scalar(None, part.column(c).type), part.column(c)) for c in ("raw_crc", "content_hash")]
+                hashes = part.column("content_hash").to_pylist()
+                told = [pa.array([v if k == "page" else None for k, v in zip(kinds, values, strict=True)], t) for values, t in ((crc, pa.int64()), (hashes, pa.string()))]
                 columns = [part.column("entry"), part.column("block"), part.column("page"), pa.array(bad, pa.int32()), *told]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.checksums import crc32c_column
 from ..functions.paths import normalize_path
 from ..operators import diff, kv_log, overlay, patch, verify, volume
+from ..operators.kv_store import KvStore
 from ..sources import pack
 from ..sources.work import new_dir
 from . import derive
@@ -119,13 +120,14 @@ def kv_holes(spark, sf_dir):
 
 
 @query(
-    _LAYOUT_SQL
+    _LAYOUT_SQL.replace("live AS (SELECT * FROM last WHERE op = 'put')", "live AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM vis WHERE seq <= 3000) WHERE n = 1 AND op = 'put')")
     + """, tails AS (SELECT shard, max("offset" + size) AS tail FROM placed GROUP BY shard)
 SELECT h.shard, h."offset", h.size, t.tail FROM holes h JOIN tails t ON h.shard = t.shard WHERE h."offset" + h.size = t.tail"""
 )
 def kv_free_tails(spark, sf_dir):
-    placed, live = _placed(spark, sf_dir)
-    return kv_log.free_tails(kv_log.holes(placed, live), placed)
+    """What could be cut if only a snapshot's rows were kept."""
+    placed, _ = _placed(spark, sf_dir)
+    return kv_log.free_tails(kv_log.holes(placed, kv_log.as_of(_rows(spark, sf_dir), 3000)), placed)
 
 
 @query(
@@ -139,18 +141,23 @@ def kv_journal_tail(spark, sf_dir):
 @query(
     _LAYOUT_SQL
     + """, records AS (SELECT shard, "offset", size, key, seq % 211 <> 0 AS good FROM placed),
+free AS (SELECT * FROM holes WHERE "offset" % 2 = 0 AND size > 0),
 idx AS (SELECT m.shard, m."offset" + CASE WHEN seq % 5 = 0 THEN 1 ELSE 0 END AS "offset", key FROM marked m WHERE alive),
 known AS (SELECT DISTINCT key FROM vis WHERE key % 10 <> 3)
 SELECT 'checksum_mismatch' AS kind, shard, "offset", key FROM records WHERE NOT good
 UNION ALL SELECT 'dangling_index', shard, "offset", key FROM idx i WHERE NOT EXISTS (SELECT 1 FROM records r WHERE r.good AND r.shard = i.shard AND r."offset" = i."offset" AND r.key = i.key)
-UNION ALL SELECT 'orphan_record', shard, "offset", key FROM records r WHERE good AND NOT EXISTS (SELECT 1 FROM idx i WHERE r.shard = i.shard AND r."offset" = i."offset" AND r.key = i.key) AND key NOT IN (SELECT key FROM known)"""
+UNION ALL SELECT 'orphan_record', shard, "offset", key FROM records r WHERE good AND NOT EXISTS (SELECT 1 FROM idx i WHERE r.shard = i.shard AND r."offset" = i."offset" AND r.key = i.key) AND key NOT IN (SELECT key FROM known)
+  AND NOT EXISTS (SELECT 1 FROM free f WHERE f.shard = r.shard AND r."offset" >= f."offset" AND r."offset" < f."offset" + f.size)
+UNION ALL SELECT 'invalid_region', shard, "offset", NULL FROM holes WHERE "offset" % 2 = 0 AND size > 0 AND "offset" % 3 = 0"""
 )
 def kv_verify(spark, sf_dir):
     placed, live = _placed(spark, sf_dir)
-    records = placed.select("shard", "offset", "size", "key", F.lit(1).alias("crc"), F.when(F.col("seq") % 211 == 0, 0).otherwise(1).alias("stored_crc"))
+    crc = crc32c_column(F.encode("value", "UTF-8"))
+    records = placed.select("shard", "offset", "size", "key", crc.alias("crc"), (crc + F.when(F.col("seq") % 211 == 0, 1).otherwise(0)).alias("stored_crc"))
     index = placed.join(live.select("seq"), "seq", "left_semi").select("shard", (F.col("offset") + F.when(F.col("seq") % 5 == 0, 1).otherwise(0)).alias("offset"), "key")
     known = _rows(spark, sf_dir).where("key % 10 <> 3")
-    free = spark.createDataFrame([], "shard int, offset long, size long")
+    free = kv_log.holes(placed, live).where("offset % 2 = 0 and size > 0").select("shard", "offset", "size")
+    free = free.unionByName(free.where("offset % 3 = 0"))  # a few listed twice
     return kv_log.verify(records, index, known, free)
 
 
@@ -174,6 +181,35 @@ def kv_merge_intervals(spark, sf_dir):
     return kv_log.merge_intervals(blocks)
 
 
+_STORED_SQL = """WITH log AS (SELECT event_id AS n, CAST(user_id AS VARCHAR) AS key, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS op, props AS value FROM events),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC) AS rn FROM log) WHERE rn = 1)
+SELECT key, value FROM last WHERE op = 'put'"""
+
+
+def _stored(spark, sf_dir) -> KvStore:
+    """events committed to a store in two batches, with a checkpoint between."""
+    store = KvStore.create(spark, new_dir(spark, "store"), shards=3)
+    op = F.when(F.col("event_type") == "error", "delete").otherwise("put")
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("n"), op.alias("op"), F.col("user_id").cast("string").cast("binary").alias("key"), F.when(op == "put", F.col("props").cast("binary")).alias("value"))
+    half = rows.agg(F.percentile_approx("n", 0.5)).first()[0]
+    store.write(rows.where(F.col("n") <= half))
+    store.checkpoint()
+    store.write(rows.where(F.col("n") > half))
+    return store
+
+
+@query(_STORED_SQL)
+def kv_checkpoint(spark, sf_dir):
+    return _stored(spark, sf_dir).scan().select(F.col("key").cast("string"), F.col("value").cast("string"))
+
+
+@query(_STORED_SQL)
+def kv_optimize(spark, sf_dir):
+    store = _stored(spark, sf_dir)
+    store.optimize()
+    return store.scan().select(F.col("key").cast("string"), F.col("value").cast("string"))
+
+
 # ------------------------------------------------------------ paths and pages
 
 
@@ -189,16 +225,21 @@ def normalize_paths(spark, sf_dir):
 
 @query("SELECT path, count(*) AS n FROM (SELECT source || '/' || lang AS path FROM documents) GROUP BY path HAVING count(*) > 1")
 def key_conflicts(spark, sf_dir):
-    paths = table(spark, sf_dir, "documents").select(normalize_path(F.concat("source", F.lit("//"), "lang")).alias("path"))
-    return paths.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return pack.conflicts(table(spark, sf_dir, "documents").select(F.concat("source", F.lit("//"), "lang").alias("path")), "path")
 
 
-@query("SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM documents")
+@query(PACK_SQL + "SELECT entry, sha256(text) AS content_hash, CAST(strlen(text) AS BIGINT) AS size FROM v1")
 def content_hash(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    return pack.build_state(derive.pack_inputs(derive.pack_v1(spark, sf_dir), 4096), 1, 1, 1).select("entry", F.col("source_hash").alias("content_hash"), "size")
 
 
-@query()
+#: CRC-32C byte by byte over a table made from the reflected polynomial 0x82F63B78.
+_CRC_SQL = """WITH t AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 2197175160) ELSE c >> 1 END) AS c FROM range(256) r(i)))
+SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(coalesce(text, ''))), lambda i: ('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2))::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+FROM (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS h FROM documents), t"""
+
+
+@query(_CRC_SQL)
 def checksums(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", crc32c_column(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("crc"))
 
@@ -307,13 +348,17 @@ def build_changes(spark, sf_dir):
 
 @query(
     PACK_SQL
-    + """SELECT p2.entry, count(*) FILTER (WHERE p1.raw IS NOT NULL AND p1.raw = p2.raw) AS n_kept, count(*) FILTER (WHERE p1.raw IS NULL OR p1.raw <> p2.raw) AS n_new
-FROM p2 LEFT JOIN p1 ON p1.entry = p2.entry AND p1.page = p2.page GROUP BY p2.entry"""
+    + """SELECT v2.entry, count(b2.page) FILTER (WHERE b1.raw IS NOT NULL AND b1.raw = b2.raw) AS n_kept, count(b2.page) FILTER (WHERE b1.raw IS NULL OR b1.raw <> b2.raw) AS n_new
+FROM v2 LEFT JOIN b2 ON v2.entry = b2.entry LEFT JOIN b1 ON b1.entry = b2.entry AND b1.page = b2.page GROUP BY v2.entry"""
 )
 def page_reuse(spark, sf_dir):
-    new, old = derive.text_pages(derive.pack_v2(spark, sf_dir)), derive.text_pages(derive.pack_v1(spark, sf_dir)).withColumnRenamed("raw", "old")
-    same = F.coalesce(F.col("raw") == F.col("old"), F.lit(False))
-    return new.join(old, ["entry", "page"], "left").groupBy("entry").agg(F.count(F.when(same, 1)).alias("n_kept"), F.count(F.when(~same, 1)).alias("n_new"))
+    """v2 written file by file over v1: references to pages of v1, and new pages."""
+    v = volume.Volume(spark)
+    v.mount(pack.write_pack(pack.build_pack(derive.pack_inputs(derive.pack_v1(spark, sf_dir), 4096, "lz4"), 1, 1, shards=4), new_dir(spark, "base")), 1)
+    v.mount_writable(new_dir(spark, "writable"), 2, page_size=4096)
+    v.write_files(derive.pack_inputs(derive.pack_v2(spark, sf_dir), 4096).select("entry", "data", "path"))
+    mine = F.size(F.filter("page_refs", lambda r: r["pack_id"] == 2)).cast("long")
+    return v._writable().files.select("entry", (F.size("page_refs") - mine).cast("long").alias("n_kept"), mine.alias("n_new"))
 
 
 # --------------------------------------------------------------------- diffs
@@ -387,9 +432,45 @@ def diff_statistics(spark, sf_dir):
     return diff.statistics(units).select("shard", "units", "payload_bytes", "put_page_raw", "put_page_pdelta", "delete_page", "new_block")
 
 
-@query(PACK_SQL + "SELECT coalesce(a.entry, b.entry) AS entry, CASE WHEN b.text IS NULL OR b.text = '' THEN 'delete_page' ELSE 'put_page_raw' END AS kind FROM v1 a FULL JOIN v2 b ON a.entry = b.entry WHERE coalesce(a.text, '') <> coalesce(b.text, '')")
+_CHANGED_SQL = PACK_SQL + "SELECT coalesce(b1.entry, b2.entry) AS entry, coalesce(b1.page, b2.page) AS page, CASE WHEN b2.entry IS NULL THEN 'delete' ELSE 'put' END AS op FROM b1 FULL JOIN b2 ON b1.entry = b2.entry AND b1.page = b2.page WHERE b1.raw IS DISTINCT FROM b2.raw"
+
+
+def _changed(units):
+    return units.select("entry", "page", F.when(F.col("kind") == "delete_page", "delete").otherwise("put").alias("op"))
+
+
+@query(_CHANGED_SQL)
 def pack_diff(spark, sf_dir):
-    return _diff(spark, sf_dir, 1 << 22, "none", "replace")[1].units.select("entry", "kind")
+    """Units of many compressed pages a file, by page deltas."""
+    return _changed(_diff(spark, sf_dir, 4096, "lz4", "page")[1].units)
+
+
+@query(_CHANGED_SQL)
+def pack_diff_replaced(spark, sf_dir):
+    return _changed(_diff(spark, sf_dir, 4096, "none", "replace")[1].units)
+
+
+@query(
+    PACK_SQL
+    + """, changed AS (SELECT coalesce(b1.entry, b2.entry) AS entry, b1.entry IS NULL AS came, b2.entry IS NULL AS went FROM b1 FULL JOIN b2 ON b1.entry = b2.entry AND b1.page = b2.page WHERE b1.raw IS DISTINCT FROM b2.raw)
+SELECT entry, count(*) FILTER (WHERE went) AS n_deleted, bool_or(NOT went) AS has_new FROM changed GROUP BY entry"""
+)
+def pack_diff_logical(spark, sf_dir):
+    """The default strategies: what of a file goes, and that the rest is replaced."""
+    units = _diff(spark, sf_dir, 4096, "lz4", "auto")[1].units
+    return units.groupBy("entry").agg(F.count(F.when(F.col("kind") == "delete_page", 1)).alias("n_deleted"), F.max(F.col("kind") != "delete_page").alias("has_new"))
+
+
+@query(PACK_SQL + "SELECT entry, sha256(text) AS hash, CAST(0 AS BIGINT) AS missing FROM v2")
+def overlay_patch(spark, sf_dir):
+    """v1 under an overlay that a diff to v2 fills gives v2; v1 itself stays."""
+    old, made = _diff(spark, sf_dir, 4096, "lz4", "page")
+    old = pack.write_pack(old, new_dir(spark, "base"))
+    over = patch.apply_overlay(volume.create_overlay(spark, old), old, [diff.write_diff(made, new_dir(spark, "diff"))])
+    v = volume.Volume(spark)
+    v.mount(old, 1)
+    v.mount(over, 5)
+    return v.contents().select("entry", F.sha2("data", 256).alias("hash"), "missing")
 
 
 def _diff(spark, sf_dir, page_size, codec, strategy):
@@ -500,16 +581,21 @@ def orphan_missing(spark, sf_dir):
 
 @query(
     PACK_SQL
-    + """, full_ AS (SELECT entry, text <> '' AS paged FROM v1)
-SELECT kind, count(*) AS n FROM (
-SELECT 'page_missing' AS kind FROM full_ WHERE paged AND entry % 43 = 0 AND entry % 47 <> 0
-UNION ALL SELECT 'file_manifest_missing' FROM full_ WHERE entry % 47 = 0
-UNION ALL SELECT 'orphan_page' FROM full_ WHERE paged AND entry % 47 = 0 AND entry % 43 <> 0
-UNION ALL SELECT 'manifest_file_count_mismatch' WHERE EXISTS (SELECT 1 FROM full_ WHERE entry % 47 = 0)
-UNION ALL SELECT 'page_invalid' FROM full_ WHERE paged AND entry % 53 = 0 AND entry % 43 <> 0) GROUP BY kind"""
+    + """, pages AS (SELECT entry, unnest(range((strlen(text) + 4095) // 4096)) AS page FROM v1),
+judged AS (SELECT *, (entry + page) % 43 = 0 AS gone, entry % 47 = 0 AS unlisted, (entry + page) % 53 = 0 OR (entry + page) % 59 = 0 OR (entry + page) % 61 = 0 AS bad FROM pages)
+SELECT 'page_missing' AS kind, entry, page FROM judged WHERE gone AND NOT unlisted
+UNION ALL SELECT 'orphan_page', entry, page FROM judged WHERE unlisted AND NOT gone
+UNION ALL SELECT 'page_invalid', entry, page FROM judged WHERE bad AND NOT gone
+UNION ALL SELECT 'file_manifest_missing', entry, NULL FROM v1 WHERE entry % 47 = 0
+UNION ALL SELECT 'manifest_file_count_mismatch', NULL, NULL WHERE EXISTS (SELECT 1 FROM v1 WHERE entry % 47 = 0)"""
 )
 def pack_verify(spark, sf_dir):
-    p = pack.build_pack(derive.pack_inputs(derive.pack_v1(spark, sf_dir), 1 << 22), 1, 1)
-    payload = F.when(F.col("entry") % 53 == 0, F.concat("payload", F.lit(b"!"))).otherwise(F.col("payload"))
-    broken = p.with_(files=p.files.where("entry % 47 <> 0"), pages=p.pages.where("entry % 43 <> 0").withColumn("payload", payload))
-    return verify.verify_pack(broken).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    """Damage of several kinds to compressed pages, many a file: facts of the raw
+    page, facts of the stored page, the payload itself."""
+    p = pack.build_pack(derive.pack_inputs(derive.pack_v1(spark, sf_dir), 4096, "lz4"), 1, 1)
+    place = F.col("entry") + F.col("page")
+    pages = p.pages.where(place % 43 != 0)
+    pages = pages.withColumn("raw_crc", F.when(place % 53 == 0, F.col("raw_crc") + 1).otherwise(F.col("raw_crc")))
+    pages = pages.withColumn("content_hash", F.when(place % 59 == 0, F.sha2("content_hash", 256)).otherwise(F.col("content_hash")))
+    pages = pages.withColumn("payload", F.when(place % 61 == 0, F.concat("payload", F.lit("!").cast("binary"))).otherwise(F.col("payload")))
+    return verify.verify_pack(p.with_(files=p.files.where("entry % 47 <> 0"), pages=pages)).select("kind", "entry", F.col("page").cast("long").alias("page"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGE = 1024
+RENEWED = 1_000_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,26 +36,32 @@ live AS (SELECT * FROM last WHERE op = 'put')
 
 
 def pack_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id % 11 <> 0")
+    """Every document is a file."""
+    docs = table(spark, sf_dir, "documents")
     return docs.select((F.col("doc_id") + 1).alias("entry"), F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".txt"))).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def pack_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id % 7 <> 0").withColumn("text", F.coalesce("text", F.lit("")))
+    """Every document again: some edited, some moved, some under a new entry (so
+    an old one goes and a new one comes)."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     name = F.concat("doc_id", F.lit(".txt"))
     path = F.when(F.col("doc_id") % 13 == 0, F.concat(F.lit("moved/"), name)).otherwise(F.concat_ws("/", "source", "lang", name))
     text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" [rev2]"))).when(F.col("doc_id") % 5 == 0, F.concat(F.lit("X"), F.substring("text", 2, 1 << 30))).otherwise(F.col("text"))
-    return docs.select((F.col("doc_id") + 1).alias("entry"), path.alias("path"), text.alias("text"))
+    entry = F.col("doc_id") + 1 + F.when(F.col("doc_id") % 7 == 0, RENEWED).otherwise(0)
+    return docs.select(entry.alias("entry"), path.alias("path"), text.alias("text"))
 
 
 PACK_SQL = """
-WITH v1 AS (SELECT doc_id + 1 AS entry, source || '/' || lang || '/' || doc_id || '.txt' AS path, coalesce(text, '') AS text FROM documents WHERE doc_id % 11 <> 0),
+WITH v1 AS (SELECT doc_id + 1 AS entry, source || '/' || lang || '/' || doc_id || '.txt' AS path, coalesce(text, '') AS text FROM documents),
 v2 AS (
-  SELECT doc_id + 1 AS entry, CASE WHEN doc_id % 13 = 0 THEN 'moved/' || doc_id || '.txt' ELSE source || '/' || lang || '/' || doc_id || '.txt' END AS path,
+  SELECT doc_id + 1 + CASE WHEN doc_id % 7 = 0 THEN 1000000000 ELSE 0 END AS entry, CASE WHEN doc_id % 13 = 0 THEN 'moved/' || doc_id || '.txt' ELSE source || '/' || lang || '/' || doc_id || '.txt' END AS path,
          CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') || ' [rev2]' WHEN doc_id % 5 = 0 THEN 'X' || substr(coalesce(text, ''), 2) ELSE coalesce(text, '') END AS text
-  FROM documents WHERE doc_id % 7 <> 0),
+  FROM documents),
 p1 AS (SELECT entry, CAST(page AS INTEGER) AS page, substr(text, CAST(page AS BIGINT) * 1024 + 1, 1024) AS raw FROM (SELECT entry, text, unnest(range((length(text) + 1023) // 1024)) AS page FROM v1)),
-p2 AS (SELECT entry, CAST(page AS INTEGER) AS page, substr(text, CAST(page AS BIGINT) * 1024 + 1, 1024) AS raw FROM (SELECT entry, text, unnest(range((length(text) + 1023) // 1024)) AS page FROM v2))
+p2 AS (SELECT entry, CAST(page AS INTEGER) AS page, substr(text, CAST(page AS BIGINT) * 1024 + 1, 1024) AS raw FROM (SELECT entry, text, unnest(range((length(text) + 1023) // 1024)) AS page FROM v2)),
+b1 AS (SELECT entry, CAST(page AS INTEGER) AS page, encode(text)[CAST(page AS BIGINT) * 4096 + 1:CAST(page AS BIGINT) * 4096 + 4096] AS raw FROM (SELECT entry, text, unnest(range((strlen(text) + 4095) // 4096)) AS page FROM v1)),
+b2 AS (SELECT entry, CAST(page AS INTEGER) AS page, encode(text)[CAST(page AS BIGINT) * 4096 + 1:CAST(page AS BIGINT) * 4096 + 4096] AS raw FROM (SELECT entry, text, unnest(range((strlen(text) + 4095) // 4096)) AS page FROM v2))
 """
 
 

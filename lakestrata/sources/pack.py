@@ -137,6 +137,12 @@ def decode_pages(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return pages.mapInArrow(run, ddl)
 
 
+def conflicts(files: DataFrame, key: str) -> DataFrame:
+    """(key, n): entries, or normalised paths, that several files claim."""
+    named = files.select((checked_path(F.col("path")) if key == "path" else F.col(key)).alias(key))
+    return named.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def check_inputs(files: DataFrame) -> None:
     """Duplicate entries or paths are KeyCollision; entry 0 and page size 0 are
     InvalidArgument; codecs without an encoder UnsupportedCodec. One pass."""
@@ -151,7 +157,7 @@ def check_inputs(files: DataFrame) -> None:
     if bad.codec:
         raise UnsupportedCodec("codec")
     for key in ("entry", "path"):
-        twice = seen.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+        twice = conflicts(seen, key).limit(1).collect()
         if twice:
             raise KeyCollision(f"{key} {twice[0][0]}")
 
