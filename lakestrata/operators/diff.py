@@ -280,7 +280,8 @@ def read_diff(spark: SparkSession, path: str) -> Diff:
 
 def verify_diff(diff: Diff) -> DataFrame:
     """(kind, entry, block, page): units without the payload their kind needs,
-    with one it must not have, or with a delta whose header makes no sense."""
+    with one it must not have, or with a delta whose header makes no sense; page
+    units that two units claim; counts that the manifest states otherwise."""
     @F.arrow_udf("boolean")
     def sound(delta: pa.Array) -> pa.Array:
         return pa.array([d is not None and bindiff.header_ok(d) for d in delta.to_pylist()])
@@ -292,4 +293,11 @@ def verify_diff(diff: Diff) -> DataFrame:
         .when((F.col("kind") != "delete_page") & F.col("payload").isNull(), "payload_missing")
         .when(is_delta & ~F.col("sound"), "delta_header")
     )
-    return diff.units.withColumn("sound", sound(F.col("payload"))).withColumn("kind", problem).where("kind is not null").select("kind", "entry", "block", "page")
+    found = diff.units.withColumn("sound", sound(F.col("payload"))).withColumn("kind", problem).where("kind is not null").select("kind", "entry", "block", "page")
+    twice = diff.units.groupBy("entry", "block", "page").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = found.unionByName(twice.select(F.lit("duplicate_unit").alias("kind"), "entry", "block", "page"))
+    sums = diff.units.agg(F.count(F.lit(1)).alias("unit_count"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).alias("payload_bytes"))
+    for fact in diff.manifest.keys() & {"unit_count", "payload_bytes"}:
+        wrong = sums.where(F.col(fact) != F.lit(diff.manifest[fact]))
+        found = found.unionByName(wrong.select(F.lit(f"{fact}_mismatch").alias("kind"), *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("entry", "block", "page")]))
+    return found

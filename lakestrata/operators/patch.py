@@ -151,12 +151,23 @@ def apply_block(pages: dict[int, dict], steps: list[dict]) -> dict[int, dict]:
         while n in pages:
             raw.append(codecs.decode(pages[n]["codec"], pages[n]["payload"], pages[n]["raw_size"], pages[n]["raw_crc"]))
             n += 1
-        pages = _cut(step, bindiff.patch(b"".join(raw), step["payload"])) | {k: v for k, v in pages.items() if k >= step["page_count"]}
+        old = b"".join(raw)
+        if not _is_block(old, step["old_block_hash"]):
+            raise PreconditionFailed(f"block {step['entry']}/{step['block']}: old bytes")
+        new = bindiff.patch(old, step["payload"])
+        if not _is_block(new, step["new_block_hash"]):
+            raise PreconditionFailed(f"block {step['entry']}/{step['block']}: result hash")
+        pages = _cut(step, new) | {k: v for k, v in pages.items() if k >= step["page_count"]}
         if _fingerprint({k: v for k, v in pages.items() if k < step["page_count"]}) != (step["crc_sequence"], step["page_count"]):
             raise PreconditionFailed(f"block {step['entry']}/{step['block']}: result")
     return pages
 
 
+def _is_block(raw: bytes, block_hash: str | None) -> bool:
+    """Are these the bytes that a unit names? Units without a hash name none."""
+    return block_hash is None or hashlib.sha256(raw).hexdigest() == block_hash
+
+
 def _fingerprint(pages: dict[int, dict]) -> tuple[int, int]:
     return crc_sequence_hash([pages[k]["raw_crc"] for k in sorted(pages)]), len(pages)
 

@@ -381,3 +381,15 @@ def test_commands_print_everything(spark, world, tmp_path, capsys):
     (tmp_path / "f").write_bytes(b"of the caller")
     assert out("volume", "put-file", f"file://{tmp_path}/w", "7", "a/b", str(tmp_path / "f"))[0] == 0
     assert out("pack", "extract", f"file://{tmp_path}/w", "7", str(tmp_path / "g"))[0] == 0 and (tmp_path / "g").read_bytes() == b"of the caller"
+
+
+def test_blocks_and_diffs_that_do_not_fit(spark, world):
+    _, packs, diffs = world
+    d = diffs[1, 2]
+    delta = F.col("kind") == "put_block_ldelta"
+    for column in ("old_block_hash", "new_block_hash"):
+        forged = diff.Diff(d.manifest, d.units.withColumn(column, F.when(delta, F.sha2(F.lit("other"), 256)).otherwise(F.col(column))), d.file_ops, d.path_delta)
+        with pytest.raises(Exception, match="(?i)block .*(old bytes|result hash)"):
+            patch.apply_chain(packs[1], [forged]).pages.collect()
+    short = diff.Diff(d.manifest | {"unit_count": 1}, d.units.unionByName(d.units.where(delta)), d.file_ops, d.path_delta)
+    assert {r.kind for r in diff.verify_diff(short).collect()} == {"duplicate_unit", "unit_count_mismatch", "payload_bytes_mismatch"}
