@@ -49,9 +49,9 @@ def words(text: Column) -> Column:
 
 
 def _key(w: Column, at: Column, size: int) -> Column:
-    """A hash of `size` words of w from `at` on (from 0); never _HEADER."""
-    h = F.xxhash64(F.lit(size), *[F.get(w, at + i) for i in range(size)])
-    return F.when(h == _HEADER, F.lit(1).cast("long")).otherwise(h)
+    """A hash of `size` words of w from `at` on (from 0); odd, so never _HEADER,
+    and written once in the plan: a second mention would be computed again."""
+    return F.xxhash64(F.lit(size), *[F.get(w, at + i) for i in range(size)]).bitwiseOR(F.lit(1).cast("long"))
 
 
 def windows(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
