@@ -4,6 +4,10 @@ Each half step reads written tables and writes its result to the shared
 folder, so no lineage grows and a lost executor costs one step at most. The
 joins have a plain table on either side, so that the adaptive planner can split
 a node with very many edges.
+
+Defined results: links with a null end and of a node with itself are ignored,
+repeated links and both directions count once, only a and b are read; no links
+give an empty table.
 """
 
 from __future__ import annotations

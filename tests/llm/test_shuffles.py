@@ -209,6 +209,29 @@ def test_components(spark):
     got = connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
     assert sorted(map(tuple, got)) == sorted((x, root(x)) for x in list(parent))
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    odd = spark.createDataFrame([(1, None, "x"), (None, 2, "x"), (3, 3, "x"), (5, 4, "x"), (4, 5, "x"), (4, 5, "x")], "a long, b long, node string")
+    assert sorted(map(tuple, connected_components(odd).collect())) == [(4, 4), (5, 4)]
+
+
+def test_near_duplicate_stage_judges_rows_one_by_one(spark):
+    """Rows that share an id but not a text, repeated rows, rows without an id."""
+    a, b = cases.prose(__import__("random").Random(1), 40), " ".join(f"u{i}" for i in range(40))
+    rows = [(1, a, 0), (5, a, 1), (5, b, 2), (7, b + " more", 3), (7, b + " more", 4), (None, "n " * 3 + a[::-1], 5), (None, "n " * 3 + a[::-1], 6), (None, None, 7), (8, "", 8), (8, "", 9)]
+    kept = near_dup.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _n int"), size=5)
+    got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert kept.columns == ["doc_id", "text", "_n"]
+    assert got == sorted([(1, a), (5, b), (0, "n " * 3 + a[::-1]), (0, ""), (8, ""), (8, "")])
+
+
+def test_null_ids_everywhere(spark):
+    from lakestrata.llm import bpe, license_scan, quality, secret_scan
+
+    rows = [(None, t, "en", "s", 1, *cases.rows()[0][5:]) for t in (None, "", "one two", "one two", "token=abcdefgh MIT License")]
+    docs = cases.documents(spark, rows)
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    assert sorted(r.n_hit for r in decontaminate.contamination(docs, bench).collect()) == [0, 0, 0, 2, 2]
+    for out in (bpe.digests(docs, *tokenizer("byte_bpe_50k.json")), license_scan.scan_licenses(docs), secret_scan.scan_secrets(docs, *tokenizer("byte_bpe_50k.tiktoken")), quality.rule_ledger(docs), substring.find_repeats(docs)):
+        assert [r.doc_id for r in out.collect()] == [None] * 5
 
 
 def test_substring(spark):
